@@ -99,17 +99,25 @@ def matched(w: list[bytes], hits: list[tuple[int, int, tuple[str, ...]]]) -> tup
     return [(a, b) for a, b in ranges], items
 
 
-def hit_table(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """doc_id, n_words, ranges (hit words), items (sorted), spans (code points of the original) for each document."""
-    spark = docs.sparkSession
+def _items(benchmark: DataFrame, size: int, automaton_bytes: int) -> tuple[DataFrame, int]:
+    """Items and the number of blocks that their measured size asks for."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # a window repeats each word up to ``size`` times, and a trie node takes some tens of bytes
-    blocks = max(1, -(-total * size // automaton_bytes))
+    return items, max(1, -(-total * size // automaton_bytes))
+
+
+def _block(items: DataFrame, block: int, blocks: int):
+    own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+    return items.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()])
+
+
+def hit_table(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """doc_id, n_words, ranges (hit words), items (sorted), spans (code points of the original) for each document."""
+    items, blocks = _items(benchmark, size, automaton_bytes)
     out = None
     for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        given = spark.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()])
+        given = _block(items, block, blocks)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = _automaton(given, size)  # noqa: B023
@@ -164,6 +172,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated; no shuffle with one block."""
+    items, blocks = _items(benchmark, size, automaton_bytes)
+    if blocks > 1:
+        hits = hit_table(docs, benchmark, size, automaton_bytes)
+        n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"])
+        bad = hits.where((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).select(F.col("doc_id").alias("_bad"))
+        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    given = _block(items, 0, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(given, size)
+        for b in batches:
+            keep = []
+            for v in b.column("text"):
+                w = words(v.as_py())
+                ranges, _ = matched(w, auto.scan(w))
+                n = sum(y - x for x, y in ranges)
+                keep.append(not (n and share * n >= len(w)))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import fold, materialize, table
@@ -29,9 +29,14 @@ BUCKET_KEYS = 4
 DIGEST = 32
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the normalised text, as 32 bytes."""
+    return F.unhex(F.sha2(fold(F.coalesce(text, F.lit(""))), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of each normalised text."""
-    return docs.select("doc_id", F.unhex(F.sha2(fold(F.coalesce("text", F.lit(""))), 256)).alias("digest"))
+    """doc_id and digest of each row."""
+    return docs.select("doc_id", digest_of(F.col("text")).alias("digest"))
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
