@@ -6,21 +6,22 @@ punctuation) become character lattices: each character may be itself, a letter i
 channel, and Viterbi decoding under the trigram model restores the likeliest word. Restored words join the text's plain words.
 
 The scorer is learned from labelled documents outside the held-out third: at most ``PER_CLASS`` of each class, chosen by a
-hash of the doc_id, whose ids are broadcast, so no text is shuffled for the join with the labels. A word enters the lexicon if
-it is in at least ``SUPPORT`` of the toxic sample and the lower bound of its precision exceeds ``PRECISION``. A text's score
-unites its lexicon words' precisions as independent evidence over the rate of label 1 among texts without any.
-
-Defined cases: a null text counts as empty and gets the base score, as do texts without a lexicon word; with no labels, or only
-one class, every score is 0; null labels are not learned from; a doc_id with several labels counts for each; a null doc_id is
-in the learning part; repeated rows each keep their row; other columns are ignored; an empty table gives an empty result.
+hash of the doc_id, whose ids are broadcast, so no text is shuffled for the join with the labels. Texts of the sample that are
+near copies count once. Features are whole words and word beginnings of ``STEMS`` letters, in restored text; those in at least
+``SUPPORT`` of the toxic sample whose precision is clearly above the labels' rate are kept, and a logistic regression weighs
+their presence, repetition and density.
+
+Defined cases: a null text counts as empty and scores like any text without features; with no labels, or only one class, every
+score is 0; null labels are not learned from; a doc_id with several labels counts for each; a null doc_id is in the learning
+part; repeated rows each keep their row; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,23 @@ from xxhash import xxh64_intdigest
 
 from spanloom.llm.common import materialize, table
 
-PER_CLASS = 20_000
-SUPPORT, LEAST_COUNT = 0.02, 3
-PRECISION = 0.5
+PER_CLASS = 10_000
+STEMS = (3, 4, 5, 6, 7)
+SUPPORT, LEAST_COUNT = 0.02, 4
+LIFT = 2.5
+MOST_FEATURES = 2000
 Z = 1.96
+STEPS, RIDGE = 500, 3e-5
+FLUSH = 200_000
 SKETCH = 4
 THRESHOLD = 0.7
 N = 28  # a-z, a word's border, any other letter
 OTHER = 27
 #: Letters that a character imitates.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "ø": "o", "*": "aeiou", "#": "h"}
-IMITATE, SKIP_REPEAT, SKIP_SYMBOL, SKIP_LETTER = 1.0, 0.5, 2.0, 12.0
+IMITATE, SKIP_REPEAT, SKIP_NOISE, SKIP_SYMBOL, SKIP_LETTER = 1.0, 0.5, 1.0, 10.0, 12.0
 _SYM = re.escape("".join(LEET))
-_LEET_WORD = re.compile(rf"(?<![^\W_])(?=[{_SYM}]*[a-z])[a-z{_SYM}]*[{_SYM}][a-z{_SYM}]*[a-z][{_SYM}0-9]*|(?<![^\W_])[a-z]+[0-9][a-z0-9]*")
+_LEET_WORD = re.compile(rf"(?<![^\W_])(?=[{_SYM}]*[a-z])[a-z{_SYM}]*[{_SYM}][a-z{_SYM}]*[a-z][0-9@$]*|(?<![^\W_])[a-z]+[0-9][a-z0-9]*")
 _REPEAT = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
 _SPACED = re.compile(rf"(?<![^\W_])[a-z{_SYM}](?:([ ._\-*~]{{1,2}})[a-z{_SYM}])(?:\1[a-z{_SYM}]){{1,}}(?![^\W_])")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -110,7 +115,7 @@ class Channel:
             elif ch.isalpha():
                 skip = SKIP_LETTER
             else:
-                skip = SKIP_SYMBOL
+                skip = SKIP_SYMBOL if ch in LEET else SKIP_NOISE
             after: dict = {}
             for (a, b), (cost, chain) in states.items():
                 for s, extra in ways:
@@ -129,29 +134,67 @@ class Channel:
             chain = chain[1]
         return "".join(out[::-1])
 
-    def words(self, text: str | None) -> set[str]:
-        """Plain and restored words."""
+    def words(self, text: str | None) -> list[str]:
+        """Plain and restored words, with repeats."""
         low = (text or "").lower()
-        out = set(_WORDS.findall(low))
+        out = _WORDS.findall(low)
         for pattern in (_LEET_WORD, _REPEAT, _SPACED):
             for m in pattern.finditer(low):
                 if word := self.restore(m[0]):
-                    out.add(word)
+                    out.append(word)
+                    if pattern is _SPACED:  # an article or pronoun may stand before spaced letters
+                        out.append(word[1:])
         return out
 
 
-@dataclass
+def features(word: str) -> list[str]:
+    """The word's beginnings, and the word itself behind a mark."""
+    return [word[:k] for k in STEMS if len(word) > k] + [word + "$"]
+
+
 class Scorer:
-    channel: Channel
-    lexicon: dict[str, float]
-    base: float
+    """Logistic regression over three values of each selected feature: present, repeated, density."""
+
+    def __init__(self, channel: Channel, chosen: list[str], weights: np.ndarray | None = None, bias: float = -np.inf):
+        self.channel, self.bias = channel, bias
+        self.at = {f: i for i, f in enumerate(chosen)}
+        self.heads = {f[:3] for f in chosen} | {f[:-1][:3] for f in chosen if f.endswith("$")}
+        self.weights = np.zeros(3 * len(chosen)) if weights is None else weights
+
+    def values(self, words: list[str]) -> dict[int, float]:
+        counts: Counter = Counter()
+        for w, n in Counter([w for w in words if w[:3] in self.heads]).items():
+            for f in features(w):
+                if f in self.at:
+                    counts[self.at[f]] += n
+        out = {}
+        for i, n in counts.items():
+            out[3 * i] = 1.0
+            if n > 1:
+                out[3 * i + 1] = 1.0
+            out[3 * i + 2] = min(1.0, 10 * n / (len(words) + 5))
+        return out
 
     def score(self, text: str | None) -> float:
-        miss = 1 - self.base
-        if self.lexicon:
-            for w in self.channel.words(text) & self.lexicon.keys():
-                miss *= 1 - self.lexicon[w]
-        return 1 - miss
+        z = self.bias + sum(self.weights[i] * v for i, v in self.values(self.channel.words(text)).items())
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+    def fit(self, rows: list[dict[int, float]], y: np.ndarray, weight: np.ndarray) -> None:
+        """Adam on the weighted log loss with a ridge; ``rows`` are sparse."""
+        n, d = len(rows), len(self.weights)
+        at = np.repeat(np.arange(n), [len(r) for r in rows])
+        col = np.fromiter((i for r in rows for i in r), np.int64, len(at))
+        val = np.fromiter((v for r in rows for v in r.values()), float, len(at))
+        weight = weight / weight.sum()
+        theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
+        theta[d] = math.log(max(1e-6, (weight * y).sum()) / max(1e-6, (weight * (1 - y)).sum()))
+        for t in range(1, STEPS + 1):
+            z = theta[d] + np.bincount(at, theta[col] * val, minlength=n)
+            e = weight * (1 / (1 + np.exp(-z.clip(-50, 50))) - y)
+            g = np.concatenate([np.bincount(col, e[at] * val, minlength=d) + RIDGE * theta[:d] / max(1, d) ** 0.5, [e.sum()]])
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        self.weights, self.bias = theta[:d], float(theta[d])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     totals = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(totals) < 2:
-        return Scorer(channel, {}, 0.0)
+        return Scorer(channel, [])
     dice = F.xxhash64(F.col("doc_id"), F.lit(5))
     sample = None
     for c in totals:  # bounded by 2 * per_class rows
@@ -175,33 +218,55 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [sorted(given.value.words(v.as_py())) for v in b.column("text")]
-            keys = [",".join(sorted(f"{xxh64_intdigest(w.encode('utf-8', 'surrogatepass')):016x}" for w in bag)[:SKETCH]) for bag in words]
+            words = [given.value.words(v.as_py()) for v in b.column("text")]
+            keys = [",".join(sorted(f"{xxh64_intdigest(w.encode('utf-8', 'surrogatepass')):016x}" for w in set(bag))[:SKETCH]) for bag in words]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(words, pa.list_(pa.string())), b.column("toxic")], ["key", "words", "toxic"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(n: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([x[1] for x in n.values()], pa.int64()), pa.array([x[0] for x in n.values()], pa.int64())], ["feature", "n1", "n0"])
+
+        n: dict[str, list[int]] = {}
+        for b in batches:
+            for words, t in zip(b.column("words").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                for f in {f for w in set(words) for f in features(w)} | {""}:  # the empty one counts the rows
+                    n.setdefault(f, [0, 0])[t] += 1
+                if len(n) > FLUSH:
+                    yield flush(n)
+                    n = {}
+        yield flush(n)
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.withColumn("doc_id", F.col("doc_id").cast(kind))), "doc_id")
     # copies and near copies share their least word hashes and count once, or a copied text's words would pass for toxic
     one = rows.select("text", "toxic").mapInArrow(bags, "key string, words array<string>, toxic int").groupBy("key", "toxic").agg(F.min("words").alias("words"))
-    counts = one.select("toxic", F.explode(F.concat(F.array(F.lit("")), "words")).alias("word")).groupBy("word").agg(
-        F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0")
-    )
-    counts = materialize(counts, "toxicity-words")
-    n = counts.where("word = ''").first()
-    if not n or not n.n1 or not n.n0:
-        return Scorer(channel, {}, 0.0)
+    one = materialize(one.select("words", "toxic"), "toxicity-sample")
+    counts = one.mapInArrow(counted, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = materialize(counts.where(f"n1 >= {LEAST_COUNT}"), "toxicity-features")
+    n = counts.where("feature = ''").first()
+    if not n or not n.n0:
+        return Scorer(channel, [])
     w1, w0 = totals[1] / n.n1, totals[0] / n.n0  # the classes' shares in the labels, not in the sample
-    least = max(LEAST_COUNT, math.ceil(SUPPORT * n.n1))
     prior = totals[1] / (totals[0] + totals[1])
-    lexicon = {}
-    # at most (words a text / SUPPORT) words reach the support
-    for r in counts.where((F.col("word") != "") & (F.col("n1") >= least) & (F.col("n1") * w1 > F.col("n0") * w0)).collect():
-        seen = r.n1 + r.n0
-        p = r.n1 * w1 / (r.n1 * w1 + r.n0 * w0)
-        low = (p + Z * Z / (2 * seen) - Z * math.sqrt((p * (1 - p) + Z * Z / (4 * seen)) / seen)) / (1 + Z * Z / seen)
-        if low > max(PRECISION, 2 * prior):
-            lexicon[r.word] = (r.n1 * w1 + prior) / (r.n1 * w1 + r.n0 * w0 + 1)
-    return Scorer(channel, lexicon, prior / 2)
+    least = max(LEAST_COUNT, math.ceil(SUPPORT * n.n1))
+    p, seen = F.col("n1") * w1 / (F.col("n1") * w1 + F.col("n0") * w0), F.col("n1") + F.col("n0")
+    low = (p + Z * Z / 2 / seen - Z * F.sqrt((p * (1 - p) + Z * Z / 4 / seen) / seen)) / (1 + Z * Z / seen)
+    good = counts.where((F.col("feature") != "") & (F.col("n1") >= least)).withColumn("low", low).where(F.col("low") > min(0.5, LIFT * prior))
+    chosen = [r[0] for r in good.orderBy(F.desc(F.col("low") * F.col("n1")), "feature").limit(MOST_FEATURES).collect()]
+    scorer = Scorer(channel, chosen)
+    if not chosen:
+        return scorer
+    wanted = spark.sparkContext.broadcast(Scorer(None, chosen))
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [wanted.value.values(x) for x in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in v], pa.list_(pa.int32())), pa.array([list(x.values()) for x in v], pa.list_(pa.float32())), b.column("toxic")], ["at", "values", "toxic"])
+
+    got = one.mapInArrow(valued, "at array<int>, values array<float>, toxic int").orderBy("toxic", "at", "values").collect()  # at most the sample
+    y = np.array([r.toxic for r in got], float)
+    scorer.fit([dict(zip(r.at, r["values"], strict=True)) for r in got], y, np.where(y == 1, w1, w0))
+    return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

@@ -1,0 +1,148 @@
+"""Decontamination, URL filters, secrets, HTML: against brute force and planted cases."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from spanloom.llm import decontaminate as D
+from spanloom.llm import html_text as H
+from spanloom.llm import secrets as S
+from spanloom.llm import url_filter as U
+
+DOCS = "doc_id long, text string, extra string"
+
+
+def test_decontaminate_against_brute_force(spark):
+    r = random.Random(3)
+    word = lambda: r.choice(["a", "b", "Ab", "c9", "é", "x_y"])
+    items = [("i%d" % i, " ".join(word() for _ in range(r.choice([0, 2, 13, 15, 20])))) for i in range(12)] + [("dup", "a b a"), ("dup2", "A, b; a"), ("null", None), (None, "a")]
+    docs = [(i, " ".join(word() for _ in range(r.randint(0, 60))) + (" " + r.choice(items)[1] if i % 3 == 0 and r.choice(items)[1] else "") if i % 3 else (r.choice(items)[1] or "") + ". b") for i in range(80)]
+    docs += [(900, None), (901, ""), (902, "A  B\ta!")]
+    want = D.brute(docs, items)
+    d = spark.createDataFrame([(*x, "e") for x in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id string, text string")
+    from pyspark.sql import functions as F
+
+    def rows(df):
+        return {x.doc_id: (x.n_words, x.n_hit, x.n_items, hashlib.sha256(",".join(x["items"]).encode()).hexdigest(), x.contaminated) for x in df.collect()}
+
+    assert rows(D.decontaminate(d, b)) == want
+    blocks = D.hit_table(d, b, automaton_bytes=200)  # many automata, united
+    n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"])
+    got = {x.doc_id: (x.n_words, x.n, len(x["items"])) for x in blocks.withColumn("n", n_hit).collect()}
+    assert got == {k: v[:3] for k, v in want.items()}
+    kept = {x.doc_id for x in D.drop_contaminated(d, b).collect()}
+    assert kept == {k for k, v in want.items() if not v[4]}
+    assert {x.doc_id for x in D.drop_contaminated(d, b, automaton_bytes=200).collect()} == kept
+    assert D.drop_contaminated(d, b).columns == d.columns
+
+
+def test_decontaminate_spans_and_empty(spark):
+    text = "Zé: " + " ".join("Word%d" % i for i in range(13)) + " end"
+    d = spark.createDataFrame([(1, text, "")], DOCS)
+    b = spark.createDataFrame([(7, " ".join("word%d" % i for i in range(13)))], "item_id long, text string")
+    (row,) = D.decontaminate(d, b).collect()
+    (s,) = row.spans
+    assert text[s.start : s.end] == text[4:-4] and row["items"] == ["7"] and row.contaminated
+    assert D.decontaminate(d.limit(0), b).count() == 0
+    assert not D.decontaminate(d, b.limit(0)).first().contaminated
+
+
+URLS = [None, "", "no-scheme/path", "http://example.org/es/1", "HTTPS://WWW.Example.ORG/en/148?x#y", "http://a.b.com/fr/1", "x://com/de/", "http://example.org", "http://badexample.org/es/",
+        "http://example.org?/es/", "a://b://c/d", "http://example.org/ES/", "http://é.com/fr/", "http://" + "a." * 300 + "org/q", "http://org/" + "p" * 5000, "http://.org/x", "://org/"]
+
+
+def url_brute(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    fit = [(len(h + p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit) if fit else None
+    return host, path, best and best[3], best[2] if best else "allow"
+
+
+@pytest.mark.parametrize("rules", [U.RULES, [*U.RULES, ("example.org", "/es/", "allow"), ("b.com", "", "block"), ("www.example.org", "/en/148", "allow")], []])
+def test_urls_against_brute_force(spark, rules):
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string")
+    rf = U.rules_frame(spark, rules) if rules else U.rules_frame(spark, U.RULES).limit(0)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge(df, rf).collect()}
+    assert got == {i: url_brute(u, rules) for i, u in enumerate(URLS * 2)}
+    assert U.judge(df.limit(0), rf).count() == 0
+
+
+def test_url_filter_is_native(spark):
+    df = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
+    plan = U.judge(df, U.rules_frame(spark)).where("verdict IS NOT NULL")._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def secret_brute(text):
+    out = [(m.start(), m.end(), "assign") for m in S.ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), m.end(), "access") for m in S.ACCESS.finditer(text) if len(m[0]) >= 20]
+    out += [(m.start(), m.end(), "hex") for m in S.HEX.finditer(text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[0], S.KINDS.index(s[2])))
+
+
+def test_secrets(spark):
+    r = random.Random(1)
+    parts = ["token = ", "AKIA", "PASSWORD:\"", "api_key='", "secret", "apikey=", "abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRST", " ", ": ", "=", "é", "ſecret=abcdefgh", "toKen:abcdefg"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(400)] + [None, "", "password: token=abcdefgh"]
+    got = {x.doc_id: x for x in S.scan(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)).collect()}
+    for i, t in enumerate(texts):
+        base = secret_brute(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(S.joined(base).encode()).hexdigest()
+        assert {(s.start, s.end, s.kind) for s in got[i].found if s.kind != "markov"} == set(base)
+
+
+def test_secret_models_separate_held_out_samples():
+    model, r = S.trained(), random.Random(99)
+    hits = sum(model.score(S.random_string(r)) > model.threshold for _ in range(1000))
+    alarms = sum(model.score(S.ordinary_identifier(r)) > model.threshold for _ in range(1000))
+    assert hits >= 950 and alarms <= 10
+    assert S.method_spans("key Zx81kqPw92LmnB7tYu3Q end", [], model) == [(4, 24, "markov")]
+    assert S.method_spans("getUserNameFromConfigFactory internationalization", [], model) == []
+
+
+PAGE = """<!DOCTYPE html><HTML><head><title>T</title><style>p{x:"</p>"}</style><script>var a="<p>no</p>";</script></head><body class="page">
+<header>Top</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad box"><div>Buy</div> now</div>
+<article><h1>A &amp; B</h1><p>One <b>two</b>  three<br>four &lt;i&gt; &eacute;&#233;&#xE9; &am<p>Five<!-- <p>c</p> --><aside>side</aside> six
+<div class="comments"><p>Reader</p></div><form><input name="q">Go</form><p title="a > b">Seven</p></article><footer>Foot</footer></body></html>"""
+
+
+def test_html_lines():
+    core = " ".join(t for t, k in H.lines(PAGE) if k == H.CORE)
+    assert core == "A & B One two three four <i> ééé &am Five six Seven"
+    assert H.lines(None) == H.lines("") == []
+    assert H.lines("a<script>x") == [("a", H.OPEN)]
+    assert H.lines("x <p class=ad>y</p> z < 3 <p>w") == [("x", 1), ("y", 0), ("z < 3", 1), ("w", 1)]
+
+
+def test_lcs_is_longest():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = [r.randrange(4) for _ in range(r.randrange(9))], [r.randrange(4) for _ in range(r.randrange(9))]
+        i, j = H.common(a, b)
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                n[x + 1][y + 1] = n[x][y] + 1 if a[x] == b[y] else max(n[x][y + 1], n[x + 1][y])
+        assert len(i) == n[-1][-1] and [a[x] for x in i] == [b[y] for y in j] and i == sorted(set(i)) and j == sorted(set(j))
+
+
+def test_html_differencing(spark):
+    page = lambda body: f"<body><div>Site</div><p>{body}</p><div>Imprint</div></body>"
+    rows = [(1, "http://a.com/p/1", page("first text")), (2, "http://a.com/p/2", page("second text")), (3, "http://b.com/", page("alone")), (4, None, None), (5, "http://a.com/p/3", PAGE), (6, "http://c.com/1", page("copy")), (7, "http://c.com/2", page("copy"))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.page_id: r.text for r in H.extract_pages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[1] == "first text" and got[2] == "second text" and got[3] == "Site alone Imprint" and got[4] == ""
+    assert got[6] == got[7] == "Site copy Imprint"  # a copy says nothing about the template
+    assert H.extract_pages(df.limit(0)).count() == 0
