@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from spanloom.plans import files, remapping, repairs, spans
+
+QUERIES = spans.QUERIES | remapping.QUERIES | repairs.QUERIES | files.QUERIES
+ORACLES = spans.ORACLES | remapping.ORACLES | repairs.ORACLES | files.ORACLES
