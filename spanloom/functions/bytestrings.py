@@ -41,8 +41,8 @@ def padded(s: Column) -> Column:
 def base64_error(s: Column) -> Column:
     """Reason why ``s`` is no strict base64 (padding is optional), or null."""
     full = padded(s)
-    pads = F.length(s) - F.length(F.rtrim(F.lit("="), s))
-    body = F.rtrim(F.lit("="), s)
+    pads = F.length(s) - F.length(F.rtrim(s, F.lit("=")))
+    body = F.rtrim(s, F.lit("="))
     return (
         F.when(s == "", "empty")
         .when((pads > 2) | ((pads > 0) & (F.length(s) % 4 != 0)), "padding")

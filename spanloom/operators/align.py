@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.schema import extended
+
 ALIGNED = ["doc_id", "left_index", "left_id", "byte_start", "byte_end", "right_start", "right_end", "covered", "starts_on", "ends_on"]
 
 
@@ -107,7 +109,4 @@ def length_stats(views: DataFrame, left: str, right: str, prefix: str = "") -> D
                     out[i] = len(s), (s & e).sum(), (~(s & e)).sum(), (~s).sum(), (~e).sum(), (r1 - r0).max()
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[:, j]) for j in range(6)]], [*b.schema.names, *[prefix + n for n in STATS]])
 
-    schema = type(views.schema)(list(views.schema.fields))
-    for n in STATS:
-        schema = schema.add(prefix + n, "bigint")
-    return views.mapInArrow(run, schema)
+    return views.mapInArrow(run, extended(views.schema, ", ".join(f"{prefix}{n} bigint" for n in STATS)))

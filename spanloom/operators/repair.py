@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.bytestrings import hex_ok, sha256
 from spanloom.functions.tokenizers import Tokenizer
-from spanloom.schema import SNAPSHOT
+from spanloom.schema import SNAPSHOT, extended
 
 DROP, PREFIX, FULL, INEXACT = "drop exceeds prefix", "kept bytes no prefix", "full window forbidden", "not exact"
 
@@ -135,11 +135,9 @@ def repair(rows: DataFrame, tokenizer: Tokenizer, *, version: int = 2, fixed_dro
             cols += [pa.array([s.reason for s, _ in got], pa.string()), pa.array([s.trials for s, _ in got], pa.list_(_TRIAL))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "ids", *_OUT, "exact", "reason", "trials"])
 
-    schema = type(rows.schema)(list(rows.schema.fields)).add("ids", "array<bigint>")
-    for n in _OUT:
-        schema = schema.add(n, "bigint")
-    schema = schema.add("exact", "boolean").add("reason", "string").add("trials", "array<struct<drop:bigint,window:bigint,exact:boolean,reason:string>>")
-    return rows.mapInArrow(run, schema)
+    counts = ", ".join(f"{n} bigint" for n in _OUT)
+    more = f"ids array<bigint>, {counts}, exact boolean, reason string, trials array<struct<drop:bigint,window:bigint,exact:boolean,reason:string>>"
+    return rows.mapInArrow(run, extended(rows.schema, more))
 
 
 def appends(conversations: DataFrame) -> DataFrame:
@@ -231,5 +229,4 @@ def full_window(rows: DataFrame, tokenizer: Tokenizer, original: str = "fixture"
             cols = [pa.array([o[i] for o in out], pa.bool_()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols, pa.array([0 if o[0] and o[1] else 2 for o in out], pa.int64())], [*b.schema.names, "restore_exact", "ids_exact", "decode_exact", "exit_code"])
 
-    schema = type(rows.schema)(list(rows.schema.fields)).add("restore_exact", "boolean").add("ids_exact", "boolean").add("decode_exact", "boolean").add("exit_code", "bigint")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(rows.schema, "restore_exact boolean, ids_exact boolean, decode_exact boolean, exit_code bigint"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.vocabulary import shipped, usable
+from spanloom.schema import extended
 
 
 _RUNS = re.compile(rb"[ \t\n\r]+|[^ \t\n\r]+")
@@ -139,8 +140,7 @@ def segment(rows: DataFrame, vocab: DataFrame, method: str = "greedy", column: s
             lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in got]))
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(failed, pa.int64())], [*b.schema.names, "ids", "failed_at"])
 
-    schema = type(rows.schema)(list(rows.schema.fields)).add("ids", "array<bigint>").add("failed_at", "bigint")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(rows.schema, "ids array<bigint>, failed_at bigint"))
 
 
 def segment_join(lexemes: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def decode(rows: DataFrame, vocab: DataFrame, column: str = "ids", out: str = "d
                 got.append(None if parts is None or None in parts else b"".join(parts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], [*b.schema.names, out])
 
-    return rows.mapInArrow(run, type(rows.schema)(list(rows.schema.fields)).add(out, "binary"))
+    return rows.mapInArrow(run, extended(rows.schema, f"{out} binary"))
 
 
 def lanes(rows: DataFrame, vocab: DataFrame, pattern_lexemes, column: str = "bytes") -> DataFrame:
@@ -196,7 +196,4 @@ def lanes(rows: DataFrame, vocab: DataFrame, pattern_lexemes, column: str = "byt
                 out[i] = sum(len(p.greedy(x)[0] or ()) for x in pattern_lexemes(s)), len(p.greedy(s)[0] or ()), len(p.minimum(s) or ())
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[:, j]) for j in range(3)]], [*b.schema.names, "per_lexeme", "stream", "minimum"])
 
-    schema = type(rows.schema)(list(rows.schema.fields))
-    for c in ("per_lexeme", "stream", "minimum"):
-        schema = schema.add(c, "bigint")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(rows.schema, "per_lexeme bigint, stream bigint, minimum bigint"))

@@ -7,10 +7,14 @@ Rows are checked in the order of ``pos`` (ordering by offset would hide overlaps
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.bytestrings import first_mismatch, sha256
+from spanloom.functions.bytestrings import sha256
 
 REPORT = ["doc_id", "stream", "error_code", "error_pos", "detail"]
 
@@ -28,27 +32,52 @@ def same_bytes(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(r, "doc_id", "full").select("doc_id", F.coalesce((F.col("raw_len") == F.col("r_len")) & (F.col("raw_sha256") == F.col("r_sha")), F.lit(False)).alias("same_bytes"))
 
 
+def _first_error(raw: bytes, start: np.ndarray, end: np.ndarray, parts: list[bytes], pos: np.ndarray) -> tuple[str | None, int | None, int | None]:
+    """(code, pos, detail) of one stream's first error; whole arrays are compared before any single token is."""
+    expected = np.concatenate([[0], end[:-1]])
+    wrong = (start != expected) | (end <= start) | (end > len(raw))
+    n = int(wrong.argmax()) if wrong.any() else len(start)
+    size = np.fromiter(map(len, parts[:n]), np.int64, n)
+    if (size != end[:n] - start[:n]).any() or b"".join(parts[:n]) != raw[: int(end[n - 1]) if n else 0]:
+        for i in range(n):
+            here = raw[start[i] : end[i]]
+            if here != parts[i]:
+                m = min(len(here), len(parts[i]))
+                at = next((k for k in range(m) if here[k] != parts[i][k]), m)
+                return "bytes", int(pos[i]), at
+    if n < len(start):
+        by = int(start[n] - expected[n])
+        code = "overlap" if by < 0 else "gap" if by > 0 else "reversed" if end[n] < start[n] else "empty" if end[n] == start[n] else "beyond"
+        return code, int(pos[n]), by if by else None
+    last = int(end[-1]) if len(end) else 0
+    return ("trailing", None, len(raw) - last) if last < len(raw) else (None, None, None)
+
+
 def token_errors(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row per document and stream with its first error, or nulls. A document without tokens is valid only if empty."""
-    w = Window.partitionBy("doc_id", "stream").orderBy("pos")
-    raw = docs.select("doc_id", "raw", F.octet_length("raw").cast("bigint").alias("raw_len"))
-    expected = F.lag("byte_end", 1, 0).over(w)
-    t = tokens.withColumn("expected", expected).join(raw, "doc_id")
-    here = F.substring("raw", (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
-    code = (
-        F.when(F.col("byte_start") < F.col("expected"), "overlap").when(F.col("byte_start") > F.col("expected"), "gap")
-        .when(F.col("byte_end") < F.col("byte_start"), "reversed").when(F.col("byte_end") == F.col("byte_start"), "empty")
-        .when(F.col("byte_end") > F.col("raw_len"), "beyond").when(here != F.col("bytes"), "bytes")
-    )
-    t = t.withColumn("code", code).withColumn("here", F.when(code == "bytes", here))
-    first = F.min(F.when(F.col("code").isNotNull(), F.struct("pos", "code", "byte_start", "expected", "here", "bytes")))
-    g = t.groupBy("doc_id", "stream").agg(first.alias("f"), F.max("byte_end").alias("last"), F.first("raw_len").alias("raw_len"))
-    streams = tokens.select("stream").distinct()
-    every = docs.select("doc_id", F.octet_length("raw").cast("bigint").alias("own_len")).join(F.broadcast(streams))  # as many as streams are named
-    every = every.join(g, ["doc_id", "stream"], "left")
-    trailing = F.col("f").isNull() & (F.coalesce("last", F.lit(0)) < F.col("own_len"))
-    detail = F.when(F.col("f.code").isin("overlap", "gap"), F.col("f.byte_start") - F.col("f.expected")).when(F.col("f.code") == "bytes", first_mismatch(F.col("f.here"), F.col("f.bytes"))).when(trailing, F.col("own_len") - F.coalesce("last", F.lit(0)))
-    return every.select("doc_id", "stream", F.when(trailing, F.lit("trailing")).otherwise(F.col("f.code")).alias("error_code"), F.col("f.pos").alias("error_pos"), detail.cast("bigint").alias("detail"))
+    """One row per document and stream with its first error, or nulls. A document without tokens is valid only if empty.
+
+    A document's tokens are gathered into one row per stream and meet its bytes there, so the bytes are not repeated for every
+    token.
+    """
+    names = [r[0] for r in tokens.select("stream").distinct().orderBy("stream").collect()]  # as many as streams are named
+    every = docs.select("doc_id", "raw", F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")).alias("stream"))
+    own = tokens.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.struct("pos", "byte_start", "byte_end", "bytes"))).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw, t in zip(b.column("raw"), b.column("t"), strict=True):
+                v = t.values
+                if v is None or not len(v):
+                    none = np.empty(0, np.int64)
+                    out.append(_first_error(raw.as_py() or b"", none, none, [], none))
+                else:
+                    col = lambda n: v.field(n).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                    out.append(_first_error(raw.as_py() or b"", col("byte_start"), col("byte_end"), v.field("bytes").to_pylist(), col("pos")))
+            cols = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stream"), *cols], REPORT)
+
+    return every.join(own, ["doc_id", "stream"], "left").select("doc_id", "stream", "raw", "t").mapInArrow(run, "doc_id bigint, stream string, error_code string, error_pos bigint, detail bigint")
 
 
 def strict(report: DataFrame) -> DataFrame:

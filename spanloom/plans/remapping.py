@@ -113,20 +113,20 @@ def remap_hash_triangle(spark, sf_dir):
     return j.select(F.col("doc_id").alias("item_id"), ((sha == B.sha256(F.encode("text", "UTF-8"))) & (sha == F.col("du_sha256"))).alias("hashes_equal"), sha.alias("target_sha256"), F.octet_length("target").cast("bigint").alias("target_bytes"))
 
 
-#: A vocabulary without the byte of "q" alone, so some lexemes have no segmentation.
-_LACK = "v2 AS (SELECT * FROM vocab WHERE h <> '71'), s2 AS (SELECT DISTINCT length(h) // 2 AS k FROM v2)"
+#: A vocabulary without the byte of "7" alone, so some lexemes have no segmentation.
+_LACK = "v2 AS (SELECT * FROM vocab WHERE h <> '37'), s2 AS (SELECT DISTINCT length(h) // 2 AS k FROM v2)"
 
 
 @query(with_(VOCAB, _LACK, view("d", "lexemes"), DICT, "src AS (SELECT gid AS key, h FROM dict)", greedy("g", "src", "v2", "s2"), "c AS (SELECT length(h) // 2 AS n, off = length(h) // 2 AS ok FROM g_done)", recursive=True)
        + "SELECT count(*) AS types, count(*) FILTER (ok) AS ok_types, count(*) FILTER (NOT ok) AS bad_types, CAST(sum(n) AS BIGINT) AS all_bytes, CAST(sum(n) FILTER (ok) AS BIGINT) AS ok_bytes, CAST(count(*) FILTER (ok) AS DOUBLE) / count(*) AS fraction FROM c")
 def coverage(spark, sf_dir):
-    return remap.coverage(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), vocab(spark, sf_dir).where("bytes <> X'71'"))[0]
+    return remap.coverage(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), vocab(spark, sf_dir).where("bytes <> X'37'"))[0]
 
 
 @query(with_(VOCAB, _LACK, view("d", "lexemes"), DICT, "src AS (SELECT gid AS key, h FROM dict)", greedy("g", "src", "v2", "s2"), recursive=True)
        + "SELECT key AS gid, CAST(off AS BIGINT) AS failed_at FROM g_done WHERE off < length(h) // 2 ORDER BY key LIMIT 50")
 def coverage_failures(spark, sf_dir):
-    return remap.coverage(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), vocab(spark, sf_dir).where("bytes <> X'71'"))[1]
+    return remap.coverage(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), vocab(spark, sf_dir).where("bytes <> X'37'"))[1]
 
 
 @query(with_(VOCAB, "dup AS (SELECT id, h FROM vocab UNION ALL SELECT id + 10000, h FROM vocab UNION ALL SELECT 0, ''), low AS (SELECT h, min(id) AS id FROM dup WHERE h <> '' GROUP BY h)", view("d", "words"))

@@ -30,10 +30,10 @@ _C = f"""c AS (SELECT conv_id, turn, coalesce(string_agg(coalesce(text, ''), '')
 t AS (SELECT *, regexp_extract_all(p, '{WORDS}') AS tp, regexp_extract_all(p || d, '{WORDS}') AS tf FROM c),
 k AS (SELECT *, unnest(range(0, 9)) AS k FROM t),
 x AS (SELECT *, tp[1:len(tp) - k] AS kept FROM k WHERE k < len(tp)),
-y AS (SELECT *, strlen(array_to_string(kept, '')) AS at, regexp_extract_all(substr(p || d, length(array_to_string(kept, '')) + 1), '{WORDS}') AS rest FROM x),
+y AS (SELECT *, strlen(array_to_string(kept, '')) AS kb, regexp_extract_all(substr(p || d, length(array_to_string(kept, '')) + 1), '{WORDS}') AS rest FROM x),
 z AS (SELECT *, list_concat(kept, rest) = tf AS ok FROM y)"""
 _IDS = "sha256(array_to_string(list_transform(tf, lambda v: CAST('0x' || substr(sha256(v), 1, 8) AS BIGINT) & 2147483647), ','))"
-_COLS = "CAST(k AS BIGINT) AS \"drop\", CAST(strlen(p) - at AS BIGINT) AS tail, CAST(strlen(p) - at + strlen(d) AS BIGINT) AS \"window\", CAST(len(rest) AS BIGINT) AS fresh"
+_COLS = "CAST(k AS BIGINT) AS \"drop\", CAST(strlen(p) - kb AS BIGINT) AS tail, CAST(strlen(p) - kb + strlen(d) AS BIGINT) AS \"window\", CAST(len(rest) AS BIGINT) AS fresh"
 
 
 def appended(spark, sf_dir) -> DataFrame:
@@ -59,7 +59,7 @@ def repair_search_v1(spark, sf_dir):
     return _found(repair.repair(appended(spark, sf_dir), RegexTokenizer(WORDS), version=1))
 
 
-@query(f"WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok GROUP BY conv_id, turn), f AS (SELECT z.k, strlen(p) - at AS tail FROM z JOIN b USING (conv_id, turn, k)) SELECT (SELECT count(*) FROM c) AS cases, count(*) AS exact_cases, CAST(max(k) AS BIGINT) AS max_drop, CAST(max(tail) AS BIGINT) AS max_tail, count(*) FILTER (k = 0) AS drop_0, count(*) FILTER (k = 1) AS drop_1, count(*) FILTER (k = 2) AS drop_2 FROM f")
+@query(f"WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok GROUP BY conv_id, turn), f AS (SELECT z.k, strlen(p) - kb AS tail FROM z JOIN b USING (conv_id, turn, k)) SELECT (SELECT count(*) FROM c) AS cases, count(*) AS exact_cases, CAST(max(k) AS BIGINT) AS max_drop, CAST(max(tail) AS BIGINT) AS max_tail, count(*) FILTER (k = 0) AS drop_0, count(*) FILTER (k = 1) AS drop_1, count(*) FILTER (k = 2) AS drop_2 FROM f")
 def repair_histogram(spark, sf_dir):
     return repair.histogram(repair.repair(appended(spark, sf_dir), RegexTokenizer(WORDS)))
 

@@ -130,10 +130,10 @@ def packed(spark: SparkSession, path: str, width: int, suffix: str = "") -> Data
 def token_jsonl(spark: SparkSession, path: str, doc_id: int = 0, stream: str = "source") -> DataFrame:
     """Token rows of a JSON-lines file in file order; blank lines are skipped, unknown keys ignored, bad lines fail the query.
 
-    The text source numbers lines by partition, and partitions follow the file, so the running id gives the order; a file
-    of one stream is then ranked once.
+    Lines are ordered by file, split offset and running id within the split, whatever order the splits are read in.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.trim("value", F.lit(" \t\r\n\x0b\x0c")) != "")
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at"))
+    lines = lines.where(F.trim("value", F.lit(" \t\r\n\x0b\x0c")) != "")
     parsed = lines.withColumn("r", F.from_json("value", TOKEN_JSONL, {"mode": "FAILFAST"}))
     bad = F.col("r").isNull() | F.col("r.id").isNull() | F.col("r.byte_start").isNull() | F.col("r.byte_end").isNull() | F.col("r.bytes_hex").isNull() | ~hex_ok(F.col("r.bytes_hex")) | (F.col("r.id") < 0)
     id_ = F.when(bad, F.raise_error(F.concat(F.lit("bad token line: "), F.col("value"))).cast("bigint")).otherwise(F.col("r.id"))

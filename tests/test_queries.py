@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from spanloom.plans import catalog
@@ -23,7 +24,7 @@ def plain(df):
     df = df.reindex(sorted(df.columns), axis=1)
 
     def cell(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return "NULL"
         return f"{x:.9g}" if isinstance(x, float) else str(bool(x)) if "bool" in type(x).__name__ else str(int(x)) if "int" in type(x).__name__ else str(x)
 
