@@ -1,10 +1,11 @@
 """Sharding by balanced label propagation under row quotas.
 
 Documents start in the shard of their id's hash. In each round, one aggregation counts every link group's documents per
-shard, a join tells each linked document its group's majority shard, and documents elsewhere ask to move there. The
-requests are summed into a matrix of shards (its size follows the shard count only); a move is granted as far as opposite
-moves balance it or the target's quota has room, whole groups at a time, or document by document where a group alone would
-fill a noticeable part of a shard. Documents without links never take part in a round.
+shard, a join tells each linked document its group's majority shard (the largest few for a group that no single shard can
+hold), and documents elsewhere ask to move there. The requests are summed into a matrix of shards (its size follows the shard
+count only); a move is granted as far as opposite moves balance it or the target's quota has room, whole groups at a time, or
+document by document where a group alone would fill a noticeable part of a shard. Quotas of the rounds count linked documents:
+those without links never take part, they fill up what is left.
 
 A last step makes the law exact: rows are range-sorted by shard, linked ones first, which numbers them without gathering a
 shard in one task, and each shard passes what exceeds its exact quota (unlinked rows first) to the shards that lack rows.
@@ -24,9 +25,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import materialize, numbered, table
 
 SHARDS = 16
-ROUNDS = 4
-SLACK = 0.05
-WHOLE_GROUP = 0.02
+ROUNDS = 6
+WHOLE_GROUP = 0.1
 _SCALE = 1 << 20
 
 
@@ -63,15 +63,18 @@ def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     placed = materialize(rows.withColumn("shard", start).join(groups.hint("merge"), "grp", "left"), "shard-round")
     single = placed.where("group_rows IS NULL")
     linked = placed.where("group_rows IS NOT NULL")
-    fixed = {r[0]: r[1] for r in single.groupBy("shard").count().collect()}
+    capacity = max(1, rows.count() // shards)
     for t in range(rounds):
         count = {r[0]: r[1] for r in linked.groupBy("shard").count().collect()}
-        sizes = [fixed.get(s, 0) + count.get(s, 0) for s in range(shards)]
-        capacity = sum(sizes) / shards * (1 + SLACK)
-        votes = linked.groupBy("grp", "shard").agg(F.count("*").alias("n")).groupBy("grp").agg(
-            F.max(F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1009)), "shard")).getField("shard").alias("target")
+        sizes = [count.get(s, 0) for s in range(shards)]
+        homes = F.least(F.ceil(F.col("rows") / capacity), F.lit(shards)).cast("int")  # shards that the group needs
+        votes = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"), F.max("group_rows").alias("rows")).groupBy("grp").agg(
+            F.reverse(F.array_sort(F.collect_list(F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1009)).alias("tie"), "shard")))).alias("votes"), F.max("rows").alias("rows")
         )
+        votes = votes.select("grp", F.transform(F.slice("votes", F.lit(1), homes), lambda v: v["shard"]).alias("homes"))
         wish = linked.join(materialize(votes, "shard-votes").hint("merge"), "grp")
+        pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(t + 100)), F.size("homes").cast("bigint")).cast("int") + 1
+        wish = wish.withColumn("target", F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(F.element_at("homes", pick))).drop("homes")
         wish = materialize(wish, "shard-wishes")
         asked = {(r[0], r[1]): r[2] for r in wish.where("shard <> target").groupBy("shard", "target").count().collect()}
         if not asked:

@@ -142,7 +142,7 @@ def test_near_dedup(spark):
 @pytest.mark.parametrize("n", [0, 1, 5, 16, 1000])
 def test_sharding_law_and_links(spark, n):
     r = random.Random(n)
-    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 4}" if i % 5 == 0 else f"own {i}" if i % 7 else None) for i in range(n)]
+    rows = [(i, "hot" if i % 3 == 0 else f"pair {i % 97}" if i % 5 == 0 else f"own {i}" if i % 7 else None) for i in range(n)]
     got = sharding.shard(spark.createDataFrame([(*x, "clash") for x in rows], DOCS)).collect()
     assert sorted(x.doc_id for x in got) == sorted(i for i, _ in rows)
     by = {s: sorted(x.slot for x in got if x.shard == s) for s in range(16)}
@@ -155,4 +155,4 @@ def test_sharding_law_and_links(spark, n):
     if n == 1000:
         apart = lambda shard_of: sum(len({shard_of[i] for i in g}) - 1 for g in groups)
         groups = [[i for i, t in rows if t == k] for k in {t for _, t in rows if t and not t.startswith("own")}]
-        assert apart({x.doc_id: x.shard for x in got}) < 0.5 * apart({i: r.randrange(16) for i, _ in rows})
+        assert apart({x.doc_id: x.shard for x in got}) < 0.3 * apart({i: r.randrange(16) for i, _ in rows})
