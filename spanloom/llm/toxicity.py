@@ -176,6 +176,8 @@ class Scorer:
         return out
 
     def score(self, text: str | None) -> float:
+        if self.bias == -np.inf:  # nothing was learned
+            return 0.0
         z = self.bias + sum(self.weights[i] * v for i, v in self.values(self.channel.words(text)).items())
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
@@ -263,9 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
             v = [wanted.value.values(x) for x in b.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in v], pa.list_(pa.int32())), pa.array([list(x.values()) for x in v], pa.list_(pa.float32())), b.column("toxic")], ["at", "values", "toxic"])
 
-    got = one.mapInArrow(valued, "at array<int>, values array<float>, toxic int").orderBy("toxic", "at", "values").collect()  # at most the sample
-    y = np.array([r.toxic for r in got], float)
-    scorer.fit([dict(zip(r.at, r["values"], strict=True)) for r in got], y, np.where(y == 1, w1, w0))
+    # at most the sample; equal rows are counted where they are made, so those without features are no hot group
+    got = one.mapInArrow(valued, "at array<int>, values array<float>, toxic int").groupBy("toxic", "at", "values").count().collect()
+    got = sorted((r.toxic, r.at, r["values"], r["count"]) for r in got)
+    y, n = np.array([r[0] for r in got], float), np.array([r[3] for r in got], float)
+    scorer.fit([dict(zip(r[1], r[2], strict=True)) for r in got], y, n * np.where(y == 1, w1, w0))
     return scorer
 
 

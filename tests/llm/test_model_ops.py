@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import language_id as L
 from spanloom.llm import sentencepieces as P
@@ -91,7 +92,7 @@ def test_language_id_held_out(spark):
     rows = language_rows(800)
     df = spark.createDataFrame([*rows, (1000, None, "en"), (1001, "", None), (1002, "123 !?", "de"), (1003, "der und mit", None)], "doc_id long, text string, lang string")
     m = L.fit(df, per_lang=60)
-    got = {r.doc_id: r for r in L.identify(df, m).withColumn("held", L.held_out(df.doc_id)).collect()}
+    got = {r.doc_id: r for r in L.identify(df, m).withColumn("held", L.held_out(F.col("doc_id"))).collect()}
     held = [r for r in got.values() if r.held and r.doc_id < 1000]
     assert len(held) > 100 and sum(r.lang_pred == r.lang for r in held) >= 0.98 * len(held)
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002)) and got[1003].lang_pred == "de"
@@ -133,7 +134,7 @@ def scorer(spark):
 
 def test_toxicity_held_out(spark, scorer):
     s, d, labels = scorer
-    rows = T.score(d, s).withColumn("held", T.held_out(d.doc_id)).collect()
+    rows = T.score(d, s).withColumn("held", T.held_out(F.col("doc_id"))).collect()
     held = [(r.score >= T.THRESHOLD, labels[r.doc_id]) for r in rows if r.held and r.doc_id in labels]
     assert sum(p == t for p, t in held) >= 0.97 * len(held) and len(held) > 300
 
