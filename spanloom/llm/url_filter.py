@@ -73,7 +73,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     )
     # a written table: the join below then exchanges both sides, so a hot URL's rows can be split
     best = materialize(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("verdict")), "url-verdicts")
-    return rows.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(
+    return rows.join(best.hint("merge"), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(
         *[c for c in rows.columns if c not in RESULT], *RESULT
     )
 
