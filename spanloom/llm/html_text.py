@@ -37,20 +37,29 @@ DROPPED = set("nav header footer aside form script style noscript template ifram
 RAW = set("script style textarea title noscript iframe template svg math".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = {"article", "main"}
+COMMENT = {"comment", "comments"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILERPLATE = set(
     "nav navbar navigation menu header footer sidebar ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion notice cookie cookies consent "
     "gdpr popup modal overlay newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs pagination comment comments disqus toolbar widget "
     "copyright search contentinfo complementary".split()
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
-_HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Words that make a class a property of the page's layout, and elements that the next of their kind closes.
+LAYOUT = set("has with without no hide show".split())
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>|<[!?][^>]*>""", re.S)
+_HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BOILER, OPEN, CORE = 0, 1, 2
 
 
-def _hinted(attrs: str) -> bool:
-    return any(w.lower() in BOILERPLATE for m in _HINT.finditer(attrs) for w in _WORD.findall(m[1]))
+def _hinted(attrs: str, words: set[str] = BOILERPLATE) -> bool:
+    for m in _HINT.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            own = {w.lower() for w in _WORD.findall(name)}
+            if own & words and not own & LAYOUT:
+                return True
+    return False
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
@@ -58,17 +67,16 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     page = page or ""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    kind, dropped, depth, core = OPEN, "", 0, 0  # the open boilerplate element's tag and its depth; open main elements
-    at = 0
+    stack: list[tuple[str, int]] = []  # open block elements, and the kind of text within each
 
     def end() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, kind))
+                out.append((text, stack[-1][1] if stack else OPEN))
 
-    n = len(page)
+    at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
@@ -79,29 +87,32 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         at = m.end()
         if not m[2]:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, attrs = m[2].lower(), m[3]
+        if m[1]:
+            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if place is not None:
+                end()
+                del stack[place:]
+            elif tag not in INLINE:
+                end()
+            continue
         if tag == "br":
             parts.append(" ")
             continue
-        hinted = not closing and tag not in VOID and tag not in MAIN and tag not in ("html", "body") and not dropped and (tag in DROPPED or (m[3] and _hinted(m[3])))
-        if tag not in INLINE or hinted or (dropped and tag == dropped):
-            end()
-        if not closing and tag in RAW and not m[3].endswith("/"):  # its content is not markup
+        drop = tag in DROPPED or (tag not in ("html", "body") and bool(attrs) and _hinted(attrs, COMMENT if tag in MAIN else BOILERPLATE))
+        if tag in INLINE and not drop:
+            continue
+        end()
+        if tag in RAW and not attrs.endswith("/"):  # its content is not markup
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if dropped:
-            if tag == dropped and tag not in VOID:
-                depth += -1 if closing else 1
-                if not depth:
-                    dropped = ""
-            elif tag in MAIN and not closing and dropped == "p":
-                dropped, depth = "", 0
-        elif hinted and not m[3].endswith("/"):
-            dropped, depth = tag, 1
-        if tag in MAIN and not dropped:
-            core = max(0, core + (-1 if closing else 1))
-        kind = BOILER if dropped else CORE if core else OPEN
+        if tag in VOID or attrs.endswith("/"):
+            continue
+        while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSED_BY.get(tag, ())):  # end tags that may be left out
+            stack.pop()
+        kind = stack[-1][1] if stack else OPEN
+        stack.append((tag, BOILER if drop or kind == BOILER else CORE if tag in MAIN else kind))
     end()
     return out
 
@@ -206,7 +217,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
-t AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(regexp_replace(body, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g'),
-      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS raw FROM a)
+t AS (SELECT page_id, url, regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(body, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS raw FROM a)
 SELECT page_id, url, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(raw, '\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM t
 """

@@ -119,6 +119,9 @@ def test_html_lines():
     assert core == "A & B One two three four <i> ééé &am Five six Seven"
     assert H.lines(None) == H.lines("") == []
     assert H.lines("a<script>x") == [("a", H.OPEN)]
+    assert H.lines("<p class=ad>buy<p>real<ul><li class='menu'>m<li>kept</ul><div id='x-sidebar'>s</div><br/>t") == [("buy", 0), ("real", 1), ("m", 0), ("kept", 1), ("s", 0), ("t", 1)]
+    assert H.lines("<div class='layout-with-sidebar'><article>a<section class=comments><article>c</article></section><article class='comment'>d</article></article></div>") == [("a", 2), ("c", 0), ("d", 0)]
+    assert H.lines("<table><tr><td>1<td>2<tr><td>3</table>4") == [("1", 1), ("2", 1), ("3", 1), ("4", 1)]
     assert H.lines("x <p class=ad>y</p> z < 3 <p>w") == [("x", 1), ("y", 0), ("z < 3", 1), ("w", 1)]
 
 
