@@ -1,6 +1,6 @@
 """Command line and the functions behind it: ``python -m spanloom.cli COMMAND``.
 
-Commands: doctor, hex, smoke, lexeme-decode, span-ledger, bridge-jsonl, remap. Reports go to standard output and, with
+Commands: doctor, hex, smoke, lexeme-decode, span-ledger, bridge-jsonl, remap, repair. Reports go to standard output and, with
 ``--receipts``, to a receipt file.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import bytestrings as B
-from spanloom.operators import bridge, ledger, remap, validate
+from spanloom.functions.tokenizers import HttpTokenizer
+from spanloom.operators import bridge, ledger, remap, repair, validate
 from spanloom.operators.vocabulary import usable
 from spanloom.sources import files, sinks
 
@@ -78,6 +79,13 @@ def remap_run(spark: SparkSession, raw: str, du_run: str, vocabulary: str, chunk
     return row | {"exact": row["raw_sha256"] == row["du_sha256"]}
 
 
+def repair_files(spark: SparkSession, server: str, prefix: str, delta: str, *, version: int = 2, max_drop: int = 8, fixed_drop: int | None = None, tokenizer=None) -> dict:
+    """Repair of one append against a tokenizer server: the candidate's geometry, its trials, and whether it is exact."""
+    row = spark.createDataFrame([tuple(sinks.read_bytes(spark, p) or b"" for p in (prefix, delta))], "prefix binary, delta binary")
+    out = repair.repair(row, tokenizer or HttpTokenizer(server), version=version, max_drop=max_drop, fixed_drop=fixed_drop).drop("prefix", "delta").first().asDict(recursive=True)
+    return out | {"n_ids": len(out.pop("ids") or ())}
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="spanloom", description=__doc__.splitlines()[0])
     p.add_argument("--receipts", help="folder for receipt files")
@@ -99,6 +107,12 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--chunk-bytes", type=int, default=100_000_000)
     for q in (s, r):
         q.add_argument("--gmap", default="gmap24", choices=("gmap24", "gmap32"))
+    t = sub.add_parser("repair")
+    for n in ("server", "prefix", "delta"):
+        t.add_argument(f"--{n}", required=True)
+    t.add_argument("--version", type=int, default=2, choices=(1, 2))
+    t.add_argument("--max-drop", type=int, default=8)
+    t.add_argument("--fixed-drop", type=int)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("spanloom").getOrCreate()
     if a.command == "doctor":
@@ -116,6 +130,8 @@ def main(argv: list[str] | None = None) -> int:
         out = span_ledger(spark, a.raw, a.du_run, a.target, a.max_bytes, a.gmap)
     elif a.command == "bridge-jsonl":
         out = bridge_jsonl(spark, a.raw, a.source, a.du, a.target)
+    elif a.command == "repair":
+        out = repair_files(spark, a.server, a.prefix, a.delta, version=a.version, max_drop=a.max_drop, fixed_drop=a.fixed_drop)
     else:
         out = remap_run(spark, a.raw, a.du_run, a.vocabulary, a.chunk_bytes, a.gmap)
     print(sinks.report_json(out), end="")

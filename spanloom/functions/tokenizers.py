@@ -95,3 +95,31 @@ class HttpTokenizer:
         if not isinstance(text, str):
             raise ValueError("the answer has no text")
         return text.encode("utf-8")
+
+
+class RankedTokenizer:
+    """Byte-pair ranks from a file of ``base64 rank`` lines, encoded by tiktoken (an optional dependency)."""
+
+    def __init__(self, path: str, pattern: str, name: str = "ranked"):
+        self.path, self.pattern, self.name, self._own = path, pattern, name, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_own": None}
+
+    @property
+    def own(self):
+        if self._own is None:
+            import base64
+
+            import tiktoken
+
+            with open(self.path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+            self._own = tiktoken.Encoding(self.name, pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return self._own
+
+    def encode(self, raw: bytes) -> list[int]:
+        return self.own.encode_ordinary(raw.decode("utf-8"))
+
+    def decode(self, ids: list[int]) -> bytes:
+        return self.own.decode_bytes(ids)

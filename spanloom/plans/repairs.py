@@ -11,6 +11,7 @@ from spanloom.operators import repair, vocabulary
 from spanloom.operators.views import LEXEMES, WORDS
 from spanloom.plans.remapping import vocab
 from spanloom.plans.spans import items, table
+from spanloom.plans.sql import view, with_
 from spanloom.streaming import repair_stream
 
 QUERIES, ORACLES = {}, {}
@@ -140,3 +141,20 @@ def _by_turn():
     from pyspark.sql import Window
 
     return Window.orderBy("turn")
+
+
+@query(f"""WITH t AS (SELECT item_id, regexp_extract_all(text, '{WORDS}') AS d, regexp_extract_all(text, '{LEXEMES}') AS l FROM benchmark)
+SELECT item_id, CAST(len(d) AS BIGINT) AS n_direct, CAST(len(l) AS BIGINT) AS n_lexemes, d = l AS equal, CAST(list_min(list_filter(range(greatest(len(d), len(l))), lambda i: d[i + 1] IS DISTINCT FROM l[i + 1])) AS BIGINT) AS diverges_at FROM t""")
+def lexeme_equivalence(spark, sf_dir):
+    from spanloom.operators import fixtures
+
+    return fixtures.lexeme_equivalence(items(spark, sf_dir), RegexTokenizer(WORDS), LEXEMES).drop("text").withColumnRenamed("doc_id", "item_id")
+
+
+@query(with_(view("w", "words", "(SELECT doc_id, left(text, greatest(0, n)) AS text FROM (SELECT doc_id, text, list_max(list_filter(range(0, 302), lambda i: strlen(left(text, i)) <= 300)) AS n FROM documents))")) + "SELECT doc_id, pos, id, byte_start, byte_end FROM w")
+def tokenizer_records(spark, sf_dir):
+    """Rows of a callback tokenizer over the first 300 bytes, cut back to whole characters."""
+    from spanloom.operators import fixtures
+    from spanloom.plans.spans import docs
+
+    return fixtures.records(docs(spark, sf_dir), RegexTokenizer(WORDS), "native", 300).select("doc_id", "pos", "id", "byte_start", "byte_end")

@@ -102,3 +102,8 @@ def verify_fixture(spark: SparkSession, path: str, expected: bytes) -> tuple[str
     """(OK, 0), (MISSING, 1) or (MISMATCH, 1)."""
     got = read_bytes(spark, path)
     return ("MISSING", 1) if got is None else ("OK", 0) if got == expected else ("MISMATCH", 1)
+
+
+def write_samples(rows: DataFrame, path: str) -> None:
+    """Sample rows (crossings, failures) as JSON lines."""
+    rows.write.json(path)

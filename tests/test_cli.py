@@ -46,3 +46,12 @@ def test_lexeme_needs_one_input(spark):
         cli.main(["lexeme-decode"])
     with pytest.raises(ValueError, match="nul"):
         cli.lexeme("\0")
+
+
+def test_repair_files(spark, tmp_path):
+    from spanloom.functions.tokenizers import RegexTokenizer
+
+    sinks.write_bytes(spark, f"{tmp_path}/p", [b"one two"])
+    sinks.write_bytes(spark, f"{tmp_path}/d", [b"s three"])
+    out = cli.repair_files(spark, "", f"{tmp_path}/p", f"{tmp_path}/d", tokenizer=RegexTokenizer(WORDS))
+    assert out["exact"] and out["drop"] == 1 and out["n_ids"] == 3 and len(out["trials"]) == 2

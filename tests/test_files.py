@@ -159,3 +159,21 @@ def test_stream_equals_batch(spark, tmp_path):
             raw += t + end
             want[c, turn] = len(tok.encode(raw.encode()))
     assert got == want and out.where(F.col("dropped") > 1).count() == 0
+
+
+def test_ranked_tokenizer_records(spark):
+    import public_tokenizers as P
+
+    from spanloom.functions.tokenizers import RankedTokenizer
+    from spanloom.operators import fixtures, spans
+
+    tok = RankedTokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    text = "Zwölf naïve 世界 🙂 words\n  and more"
+    d = spark.createDataFrame([(1, text), (2, None), (3, "é" * 10)], "doc_id bigint, text string")
+    rows = fixtures.records(d, tok, "native")
+    got = {r.doc_id: bytes(r.bytes) for r in spans.reconstruct(rows).collect()}
+    assert got == {1: text.encode(), 3: ("é" * 10).encode()}
+    assert [r.id for r in rows.where("doc_id = 1").orderBy("pos").collect()] == tok.encode(text.encode())
+    cut = fixtures.records(d, tok, "native", 5)
+    assert {r.doc_id: r.n for r in cut.groupBy("doc_id").agg(F.max("byte_end").alias("n")).collect()} == {1: 5, 3: 4}
+    assert all(r.equal == (r.diverges_at is None) for r in fixtures.lexeme_equivalence(d, tok, WORDS).collect())
