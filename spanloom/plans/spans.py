@@ -27,8 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out where its files give fewer tasks than there are cores; large inputs are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def items(spark, sf_dir) -> DataFrame:
@@ -68,7 +74,7 @@ def boundary_stats_both_ways(spark, sf_dir):
 
 @query(with_(view("c", "cap5"), view("w", "words"), aligned("a", "c", "w")) + f"SELECT lang, {stats()} FROM a JOIN documents USING (doc_id) GROUP BY lang")
 def boundary_stats_by_lang(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text <> ''").select("lang", lengths(F.col("text"), cap(5)).alias("a"), lengths(F.col("text"), WORDS).alias("b"))
+    d = spread(table(spark, sf_dir, "documents").select("lang", "text")).where("text <> ''").select("lang", lengths(F.col("text"), cap(5)).alias("a"), lengths(F.col("text"), WORDS).alias("b"))
     s = align.length_stats(d, "a", "b")
     return s.groupBy("lang").agg(*[F.sum(c).alias(c) for c in align.STATS[:-1]], F.max("max_covered").alias("max_covered"))
 
