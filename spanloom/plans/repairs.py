@@ -159,3 +159,11 @@ def tokenizer_records(spark, sf_dir):
     from spanloom.operators import fixtures
 
     return fixtures.records(docs(spark, sf_dir), RegexTokenizer(WORDS), "native", 300).select("doc_id", "pos", "id", "byte_start", "byte_end")
+
+
+@query(with_(view("w", "words")) + "SELECT doc_id, pos, id, byte_start, byte_end FROM w")
+def tokenizer_records_whole(spark, sf_dir):
+    """Rows of a callback tokenizer over whole texts."""
+    from spanloom.operators import fixtures
+
+    return fixtures.records(docs(spark, sf_dir), RegexTokenizer(WORDS), "native").select("doc_id", "pos", "id", "byte_start", "byte_end")

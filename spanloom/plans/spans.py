@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.cli import MAX_BYTES
 from spanloom.functions import bytestrings as B
 from spanloom.operators import align, bridge, ledger, spans, validate
 from spanloom.operators.views import LEXEMES, WORDS, cap, id_of, lengths, pieces, tokens
@@ -236,10 +237,10 @@ def shared_boundary(spark, sf_dir):
     return spans.shared_boundary(tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), 100, 300)
 
 
-def _ledger(legacy: bool) -> str:
+def _ledger(legacy: bool, limit: int = 1000) -> str:
     cross = "NOT (starts_on AND ends_on)" + (" OR covered <> 1" if legacy else "")
     share = "CAST(exact AS DOUBLE) / nullif(target_tokens, 0)"
-    return with_(view("t", "cap5"), view("d", "words"), "lim AS (SELECT doc_id, least(CAST(strlen(text) AS BIGINT), 1000) AS byte_limit FROM documents)", "ti AS (SELECT t.* FROM t JOIN lim USING (doc_id) WHERE byte_end <= byte_limit)", aligned("a", "ti", "d"),
+    return with_(view("t", "cap5"), view("d", "words"), f"lim AS (SELECT doc_id, least(CAST(strlen(text) AS BIGINT), {limit}) AS byte_limit FROM documents)", "ti AS (SELECT t.* FROM t JOIN lim USING (doc_id) WHERE byte_end <= byte_limit)", aligned("a", "ti", "d"),
                  f"s AS (SELECT doc_id, count(*) AS target_tokens, count(*) FILTER (NOT ({cross})) AS exact, count(*) FILTER ({cross}) AS cross_or_cut, count(*) FILTER (NOT starts_on) AS start_inside, count(*) FILTER (NOT ends_on) AS end_inside, CAST(max(covered) AS BIGINT) AS max_covered FROM a GROUP BY doc_id)",
                  "n AS (SELECT doc_id, count(*) AS du_tokens FROM d JOIN lim USING (doc_id) WHERE byte_end <= byte_limit GROUP BY doc_id)") + f"""
 SELECT doc_id, byte_limit, coalesce(target_tokens, 0) AS target_tokens, coalesce(exact, 0) AS exact, coalesce(cross_or_cut, 0) AS cross_or_cut, coalesce(start_inside, 0) AS start_inside, coalesce(end_inside, 0) AS end_inside,
@@ -258,6 +259,20 @@ def span_ledger_legacy(spark, sf_dir):
     return ledger.ledger(raw(d), tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), 1000, legacy=True)
 
 
+@query(_ledger(False, MAX_BYTES))
+def span_ledger_whole(spark, sf_dir):
+    """``span_ledger`` under the default limit, so over whole texts."""
+    d = docs(spark, sf_dir)
+    return ledger.ledger(raw(d), tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), MAX_BYTES)
+
+
+@query(_ledger(True, MAX_BYTES))
+def span_ledger_legacy_whole(spark, sf_dir):
+    """``span_ledger_legacy`` under the default limit, so over whole texts."""
+    d = docs(spark, sf_dir)
+    return ledger.ledger(raw(d), tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), MAX_BYTES, legacy=True)
+
+
 @query(with_(view("t", "cap5"), view("d", "words"), aligned("a", "t", "d"), "x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY left_index) AS sample FROM a WHERE NOT (starts_on AND ends_on))", "n AS (SELECT doc_id, count(*) AS n_du FROM d GROUP BY doc_id)")
        + "SELECT doc_id, sample, left_index, byte_start, byte_end, right_start, right_end, greatest(right_start - 3, 0) AS context_start, least(right_end + 3, n_du) AS context_end FROM x JOIN n USING (doc_id) WHERE sample <= 80")
 def crossing_samples(spark, sf_dir):
