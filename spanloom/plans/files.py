@@ -57,6 +57,23 @@ def jsonl_roundtrip(spark, sf_dir):
     return files.token_jsonl(spark, path).select("pos", "id", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex"))
 
 
+@query(with_("parts AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS k FROM benchmark)", view("w", "words", "parts", "k"),
+             "o AS (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS pos, id, CAST(sum(n) OVER (ORDER BY doc_id, pos) AS BIGINT) AS byte_end, n, tok FROM w)")
+       + "SELECT pos, id, byte_end - n AS byte_start, byte_end, lower(hex(encode(tok))) AS bytes_hex FROM o")
+def jsonl_roundtrip_all(spark, sf_dir):
+    """``jsonl_roundtrip`` of all benchmark items, one after the other in the order of their ids, as one stream."""
+    rows, pos, byte = [], 0, 0
+    for k, (_, text) in enumerate(fixture(spark, sf_dir)):
+        rows.append((k, text, pos, byte))
+        pos, byte = pos + len(re.findall(WORDS, text)), byte + len(text.encode())
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, first bigint, base bigint")
+    t = tokens(d, "doc_id", WORDS, "source").join(d.drop("text"), "doc_id")
+    t = t.withColumns({"pos": F.col("pos") + F.col("first"), "byte_start": F.col("byte_start") + F.col("base"), "byte_end": F.col("byte_end") + F.col("base")})
+    path = scratch.folder(spark, "tokens") + "/source.jsonl"
+    sinks.write_jsonl(t, path)
+    return files.token_jsonl(spark, path).select("pos", "id", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex"))
+
+
 def line_of(lexeme: str) -> str:
     """A dictionary line for a lexeme."""
     if lexeme.isascii() and not re.search(r"[\x00-\x20]", lexeme):

@@ -186,6 +186,31 @@ def base64_strict(spark, sf_dir):
     return d.select("doc_id", "v.variant", F.hex(B.from_base64(F.col("v.s"))).alias("decoded"), B.base64_error(F.col("v.s")).alias("error"))
 
 
+@query("""SELECT doc_id, c AS variant, CASE WHEN c IN (0, 1) THEN hex(encode(t)) END AS decoded FROM (SELECT doc_id, coalesce(text, '') AS t, unnest([0, 1, 2, 3]) AS c FROM documents)""")
+def hex_codec_whole(spark, sf_dir):
+    """``hex_codec`` over the whole text of every row; a null text counts as empty."""
+    d = raw(docs(spark, sf_dir)).select("doc_id", F.hex("raw").alias("h"))
+    forms = (F.col("h"), F.lower("h"), F.concat("h", F.lit("a")), F.concat(F.lit("zz"), F.col("h")))
+    d = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), s.alias("s")) for i, s in enumerate(forms)])).alias("v"))
+    return d.select("doc_id", "v.variant", F.hex(B.from_hex(F.col("v.s"))).alias("decoded"))
+
+
+@query("""SELECT doc_id, c AS variant, CASE WHEN c IN (0, 1) AND t <> '' THEN hex(encode(t)) END AS decoded,
+  CASE WHEN c IN (0, 1) AND t = '' THEN 'empty' WHEN c = 2 AND strlen(t) % 3 = 0 THEN 'length' ELSE [NULL, NULL, 'pad bits', 'alphabet', 'empty', 'inner padding', 'padding'][c + 1] END AS error
+FROM (SELECT doc_id, coalesce(text, '') AS t, unnest([0, 1, 2, 3, 4, 5, 6]) AS c FROM documents)""")
+def base64_strict_whole(spark, sf_dir):
+    """``base64_strict`` over the whole text of every row, whatever its pads; a null text counts as empty."""
+    d = raw(docs(spark, sf_dir)).select("doc_id", B.to_base64(F.col("raw")).alias("s"), (F.octet_length("raw") % 3 == 0).alias("full"))
+    d = d.withColumn("body", F.rtrim("s", F.lit("=")))
+    s, body = F.col("s"), F.col("body")
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    # with pads the last digit has spare bits, which are set here; without them one digit too many is a wrong length
+    spare = F.when(F.col("full"), F.concat(body, F.lit("A"))).otherwise(F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.translate(F.right(body, F.lit(1)), digits[:-1], digits[1:])))
+    forms = (s, body, spare, F.concat(F.lit("*"), F.substring(body, 2, 1 << 30)), F.lit(""), F.concat(F.lit("=A"), F.substring(s, 3, 1 << 30)), F.concat(body, F.lit("====")))
+    d = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), x.alias("s")) for i, x in enumerate(forms)])).alias("v"))
+    return d.select("doc_id", "v.variant", F.hex(B.from_base64(F.col("v.s"))).alias("decoded"), B.base64_error(F.col("v.s")).alias("error"))
+
+
 def coded(tok) -> F.Column:
     """A dictionary line that decodes to a lexeme: white space as codes, other text plain or as base64."""
     blank = F.regexp_replace(F.translate(F.translate(tok, "\n", "\x03"), "\t", "\x01"), "( +)", "\x02\x06$1\x06\x02")

@@ -1,5 +1,6 @@
 """The queries over whole texts and all rows, against plain Python on texts longer than any prefix in use."""
 
+import base64
 import re
 
 import pytest
@@ -7,13 +8,14 @@ import pytest
 from spanloom.operators.views import WORDS, cap
 from spanloom.plans import catalog
 
-TEXTS = {1: "Zé wörd  a\n\tlong stony " * 200, 2: "short", 3: "é" * 1500 + " x", 4: "", 5: "ab", 6: "abc", 7: "x" * 999 + " limit"}
+TEXTS = {1: "Zé wörd  a\n\tlong stony " * 200, 2: "short", 3: "é" * 1500 + " x", 4: "", 5: "ab", 6: "abc", 7: "x" * 999 + " limit", 8: "a" * 1000}
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("whole")
     spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(f"i{i}", t) for i, t in TEXTS.items()], "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
     return str(at)
 
 
@@ -44,3 +46,27 @@ def test_ledgers_count_whole_texts(spark, folder, name, legacy):
 def test_tokenizer_records_take_whole_texts(spark, folder):
     got = sorted((r.doc_id, r.pos, r.byte_start, r.byte_end) for r in catalog.QUERIES["tokenizer_records_whole"](spark, folder).collect())
     assert got == [(i, k, a, b) for i, t in TEXTS.items() for k, (a, b) in enumerate(bounds(t, WORDS))]
+
+
+def test_hex_codes_whole_texts(spark, folder):
+    got = {(r.doc_id, r.variant): r.decoded for r in catalog.QUERIES["hex_codec_whole"](spark, folder).collect()}
+    assert got == {(i, v): t.encode().hex().upper() if v < 2 else None for i, t in TEXTS.items() for v in range(4)}
+
+
+def test_base64_codes_whole_texts_of_any_padding(spark, folder):
+    assert {base64.b64encode(t.encode()).count(b"=") for t in TEXTS.values()} == {0, 1, 2}
+    got = {(r.doc_id, r.variant): (r.decoded, r.error) for r in catalog.QUERIES["base64_strict_whole"](spark, folder).collect()}
+    want = {}
+    for i, t in TEXTS.items():
+        good = (t.encode().hex().upper(), None) if t else (None, "empty")
+        errors = ["pad bits" if len(t.encode()) % 3 else "length", "alphabet", "empty", "inner padding", "padding"]
+        want |= {(i, v): good if v < 2 else (None, errors[v - 2]) for v in range(7)}
+    assert got == want
+
+
+def test_jsonl_holds_all_items(spark, folder):
+    got = sorted((r.pos, r.byte_start, r.byte_end, bytes.fromhex(r.bytes_hex)) for r in catalog.QUERIES["jsonl_roundtrip_all"](spark, folder).collect())
+    assert b"".join(r[3] for r in got) == "".join(TEXTS.values()).encode()
+    whole = [p.encode() for t in TEXTS.values() for p in re.findall(WORDS, t)]
+    ends = [sum(map(len, whole[: k + 1])) for k in range(len(whole))]
+    assert got == [(k, e - len(p), e, p) for k, (p, e) in enumerate(zip(whole, ends, strict=True))]
