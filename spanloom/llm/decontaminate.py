@@ -6,12 +6,12 @@ an item with fewer words, but not none, is one window. The automaton scans each
 to word numbers and, for the spans, to code-point offsets of the original text. No shuffle: the documents are only mapped.
 
 The benchmark's size is measured before it is collected. Above ``AUTOMATON_BYTES`` it is dealt into blocks by a hash of
-the item, with one automaton and one scan per block, and the blocks' hits are united per document, so nothing is dropped
-and the driver never holds more than one block.
+the item, with one automaton and one scan per block. The documents are first written with a row number, and the blocks'
+hits are united by it, so nothing is dropped, no two rows are mixed, and the driver never holds more than one block.
 
 Defined cases: a null text has no words (n_words 0, not contaminated); a null or empty item has no window; equal windows of
-several items count for all of them; repeated documents each keep their row (with several blocks, rows of one doc_id are
-united); a null item_id stands for no item and is left out; an empty benchmark hits nothing. Other columns may be present in either table and are ignored.
+several items count for all of them; repeated documents and null doc_ids each keep their row, with any number of blocks; a
+null item_id stands for no item and is left out; an empty benchmark hits nothing. Other columns may be present in either table and are ignored.
 """
 
 from __future__ import annotations
@@ -112,9 +112,22 @@ def _block(items: DataFrame, block: int, blocks: int):
     return items.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()])
 
 
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique _row; written, since every block and join must see the same numbers."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
+
+
 def hit_table(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """doc_id, n_words, ranges (hit words), items (sorted), spans (code points of the original) for each document."""
+    """doc_id, n_words, ranges (hit words), items (sorted), spans (code points of the original) for each row."""
     items, blocks = _items(benchmark, size, automaton_bytes)
+    docs = docs.select("doc_id", "text")
+    if blocks > 1:
+        return _hits(_with_rows(docs), items, blocks, size, ["doc_id", "_row"]).drop("_row")
+    return _hits(docs, items, blocks, size, ["doc_id"])
+
+
+def _hits(docs: DataFrame, items: DataFrame, blocks: int, size: int, keys: list[str]) -> DataFrame:
+    """``keys`` and the hits of each row; several blocks need a _row among them."""
     out = None
     for block in range(blocks):
         given = _block(items, block, blocks)
@@ -134,31 +147,33 @@ def hit_table(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, automat
                         c.append(v)
                 pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pair("first", "last")), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pair("start", "end"))],
-                    ["doc_id", "n_words", "ranges", "items", "spans"],
+                    [*[b.column(k) for k in keys], pa.array(cols[0], pa.int64()), pa.array(cols[1], pair("first", "last")), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pair("start", "end"))],
+                    [*keys, "n_words", "ranges", "items", "spans"],
                 )
 
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        one = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, ranges array<struct<first:long,last:long>>, items array<string>, spans array<struct<start:long,end:long>>")
+        kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+        one = docs.select(*keys, "text").mapInArrow(scan, f"{kinds}, n_words long, ranges array<struct<first:long,last:long>>, items array<string>, spans array<struct<start:long,end:long>>")
         out = one if out is None else out.unionByName(one)
     if blocks == 1:
         return out
-    # blocks see the same documents; ids are taken as unique here, repeated ids are united
-    merged = materialize(out, "decontamination-blocks").groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"),
-    )
-    return merged.withColumn("ranges", _union(F.array_sort("ranges"), "first", "last")).withColumn("spans", _union(F.array_sort("spans"), "start", "end"))
-
-
-def _union(ranges, a: str, b: str):
-    """Sorted ranges joined where they touch or overlap (JVM side)."""
-    kind = f"array<struct<{a}:bigint,{b}:bigint>>"
+    # blocks see the same rows; a row's doc_id and words are the same in each, and a block has one span for each range
+    places = F.transform(F.arrays_zip("ranges", "spans"), lambda x: F.struct(x["ranges"]["first"].alias("first"), x["ranges"]["last"].alias("last"), x["spans"]["start"].alias("start"), x["spans"]["end"].alias("end")))
+    merged = materialize(out, "decontamination-blocks").groupBy("_row").agg(
+        *[F.first(k).alias(k) for k in keys if k != "_row"], F.max("n_words").alias("n_words"), F.flatten(F.collect_list(places)).alias("places"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    ).withColumn("places", _union(F.array_sort("places")))
+    pick = lambda a, b: F.transform("places", lambda x: F.struct(x[a].alias(a), x[b].alias(b)))
+    return merged.select(*keys, "n_words", pick("first", "last").alias("ranges"), "items", pick("start", "end").alias("spans"))
+
+
+def _union(places):
+    """Sorted word ranges, with their spans, joined where the words touch or overlap, as ``matched`` does (JVM side)."""
     last = lambda acc: F.element_at(acc, -1)
+    more = lambda acc, x, c: F.greatest(last(acc)[c], x[c]).alias(c)
     return F.aggregate(
-        ranges, F.array().cast(kind),
-        lambda acc, x: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))[b] < x[a]), F.concat(acc, F.array(x)))
-        .otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)[a].alias(a), F.greatest(last(acc)[b], x[b]).alias(b))))),
+        places, F.array().cast("array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"),
+        lambda acc, x: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["last"] < x["first"]), F.concat(acc, F.array(x)))
+        .otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["first"].alias("first"), more(acc, x, "last"), last(acc)["start"].alias("start"), more(acc, x, "end"))))),
     )
 
 
@@ -176,10 +191,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     """The rows of ``docs``, with all their columns, that are not contaminated; no shuffle with one block."""
     items, blocks = _items(benchmark, size, automaton_bytes)
     if blocks > 1:
-        hits = hit_table(docs, benchmark, size, automaton_bytes)
+        rows = _with_rows(docs)
+        hits = _hits(rows, items, blocks, size, ["_row"])
         n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"])
-        bad = hits.where((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).select(F.col("doc_id").alias("_bad"))
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+        bad = hits.where((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).select("_row")
+        return rows.join(bad, "_row", "left_anti").select(*docs.columns)
     given = _block(items, 0, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

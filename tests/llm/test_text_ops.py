@@ -50,6 +50,26 @@ def test_decontaminate_spans_and_empty(spark):
     assert not D.decontaminate(d, b.limit(0)).first().contaminated
 
 
+def test_decontaminate_blocks_keep_rows_of_repeated_and_null_ids(spark):
+    """One block and many give the same rows, each with the words and hits of its own text."""
+    items = [(f"i{k}", " ".join(f"w{k}x{i}" for i in range(15))) for k in range(8)]
+    clean = [" ".join(f"own{k}y{i}" for i in range(n)) for k, n in enumerate((5, 40, 900))]
+    docs = [(i, t) for i in (None, 1, 1, 2) for t in [*clean, items[0][1], clean[1] + " " + items[3][1] + " " + items[5][1], None, ""]] + [(3, items[6][1])]
+    d = spark.createDataFrame([(*x, "e") for x in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id string, text string")
+
+    def rows(df):
+        return sorted(str(tuple(r)) for r in df.select("doc_id", "n_words", "ranges", "items", "spans").collect())
+
+    one, many = D.hit_table(d, b), D.hit_table(d, b, automaton_bytes=1000)
+    assert one.count() == many.count() == len(docs)
+    assert rows(one) == rows(many)
+    want = sorted(str((i, t, "e")) for i, t in docs if not D.brute([(0, t)], items)[0][4])
+    for size in (D.AUTOMATON_BYTES, 1000):
+        kept = D.drop_contaminated(d, b, automaton_bytes=size)
+        assert kept.columns == d.columns and sorted(str(tuple(r)) for r in kept.collect()) == want
+
+
 URLS = [None, "", "no-scheme/path", "http://example.org/es/1", "HTTPS://WWW.Example.ORG/en/148?x#y", "http://a.b.com/fr/1", "x://com/de/", "http://example.org", "http://badexample.org/es/",
         "http://example.org?/es/", "a://b://c/d", "http://example.org/ES/", "http://é.com/fr/", "http://" + "a." * 300 + "org/q", "http://org/" + "p" * 5000, "http://.org/x", "://org/"]
 
