@@ -8,7 +8,8 @@ Differencing alone is wrong in two ways here, so it is bounded by the markup. Co
 neighbour: lines inside ``article`` or ``main`` are never deleted, and a neighbour with the very same lines is no evidence.
 And boilerplate that differs from page to page is shared with no neighbour: lines inside elements that hold menus, headers,
 footers, sidebars, notices, adverts, forms or comments, by tag name or by a word of class, id or role, are deleted as well.
-Where a page has an ``article`` or ``main``, unshared lines outside it are deleted too.
+Ids of headings and sections inside an ``article`` or ``main`` name their subject and mark nothing, but for a section's id
+that is just ``comment`` or ``comments``. All other lines are left to differencing, whether the page has an ``article`` or not.
 
 Defined cases: a null or empty html gives the empty text; broken, unclosed and upper-case markup is read leniently (an
 unclosed script hides the rest of the page); a null url has empty host and path; a page that is its host's only one in its
@@ -38,6 +39,7 @@ RAW = set("script style textarea title noscript iframe template svg math".split(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = {"article", "main"}
 COMMENT = {"comment", "comments"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILERPLATE = set(
     "nav navbar navigation menu header footer sidebar ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion notice cookie cookies consent "
@@ -49,12 +51,14 @@ LAYOUT = set("has with without no hide show".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>|<[!?][^>]*>""", re.S)
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLASS = re.compile(_HINT.pattern.replace("class|id|role", "class|role"), re.I)
+_ID = re.compile(_HINT.pattern.replace("class|id|role", "id"), re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BOILER, OPEN, CORE = 0, 1, 2
 
 
-def _hinted(attrs: str, words: set[str] = BOILERPLATE) -> bool:
-    for m in _HINT.finditer(attrs):
+def _hinted(attrs: str, words: set[str] = BOILERPLATE, names: re.Pattern = _HINT) -> bool:
+    for m in names.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
             own = {w.lower() for w in _WORD.findall(name)}
             if own & words and not own & LAYOUT:
@@ -62,6 +66,18 @@ def _hinted(attrs: str, words: set[str] = BOILERPLATE) -> bool:
     return False
 
 
+def _marked(tag: str, attrs: str, stack: list[tuple[str, int]]) -> bool:
+    """Whether class, id or role mark boilerplate, given the open elements."""
+    if tag in MAIN:
+        return _hinted(attrs, COMMENT)
+    if stack and stack[-1][1] == CORE:
+        if tag in HEADINGS or any(t in HEADINGS for t, _ in stack):
+            return _hinted(attrs, names=_CLASS)
+        if tag == "section":
+            return _hinted(attrs, names=_CLASS) or any((m[1] or m[2] or m[3] or "").strip().lower() in COMMENT for m in _ID.finditer(attrs))
+    return _hinted(attrs)
+
+
 def lines(page: str | None) -> list[tuple[str, int]]:
     """(text, kind) of the page's lines in order; kind: BOILER, OPEN or CORE."""
     page = page or ""
@@ -99,7 +115,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if tag == "br":
             parts.append(" ")
             continue
-        drop = tag in DROPPED or (tag not in ("html", "body") and bool(attrs) and _hinted(attrs, COMMENT if tag in MAIN else BOILERPLATE))
+        drop = tag in DROPPED or (tag not in ("html", "body") and bool(attrs) and _marked(tag, attrs, stack))
         if tag in INLINE and not drop:
             continue
         end()
@@ -155,8 +171,7 @@ def extract(own: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None)
         a, b = [hash(t) for t, _ in own], [hash(t) for t, _ in neighbour]
         if a != b:
             shared = {i for i in common(a, b)[0]}
-    least = CORE if any(k == CORE for _, k in own) else OPEN
-    return " ".join(t for i, (t, k) in enumerate(own) if k >= least and (k == CORE or i not in shared))
+    return " ".join(t for i, (t, k) in enumerate(own) if k == CORE or (k == OPEN and i not in shared))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -145,6 +145,23 @@ def test_html_lines():
     assert H.lines("x <p class=ad>y</p> z < 3 <p>w") == [("x", 1), ("y", 0), ("z < 3", 1), ("w", 1)]
 
 
+def test_html_ids_of_headings_and_sections_in_articles():
+    page = "<article><h2 id='related-work'>Related work</h2><section id='search-and-social'><h3><span class=mw id=Share_prices>Shares</span></h3>x</section><section id=Comments>c</section><section class=related>r</section><div id=share>s</div></article><h2 id=search>q</h2>"
+    assert H.lines(page) == [("Related work", 2), ("Shares", 2), ("x", 2), ("c", 0), ("r", 0), ("s", 0), ("q", 0)]
+
+
+def test_html_differencing_decides_lines_outside_articles(spark):
+    page = lambda n: f"<div>Site</div><p>Story {n}</p><p>goes on {n}</p><article><p>Teaser</p></article><div>Imprint</div>"
+    rows = [(n, f"http://a.com/p/{n}", page(n), "x") for n in (1, 2, 3)] + [(4, "http://b.com/", page(4), "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.page_id: r.text for r in H.extract_pages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {**{n: f"Story {n} goes on {n} Teaser" for n in (1, 2, 3)}, 4: "Site Story 4 goes on 4 Teaser Imprint"}
+
+
 def test_lcs_is_longest():
     r = random.Random(5)
     for _ in range(300):
