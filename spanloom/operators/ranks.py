@@ -11,9 +11,11 @@ from spanloom.scratch import written
 def numbered(df: DataFrame, order: list[str], column: str) -> DataFrame:
     """``df`` with ``column`` counting from 0 in ``order``: range partitions are sorted and written, then offset by counts.
 
-    The driver sees one count per partition.
+    A salt behind ``order`` lets rows that are equal in it, however many, be split over partitions. The driver sees one count
+    per partition.
     """
-    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    salted = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    placed = salted.repartitionByRange(*[F.col(c) for c in order], "_salt").sortWithinPartitions(*order, "_salt").drop("_salt")
     placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     kept = written(placed, "ranks")
     rows, total = [], 0

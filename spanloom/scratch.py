@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,19 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; a local folder of our own only where it is unset and driver and executors are one process.
+
+    Such a folder is removed when the driver's process ends. On a cluster the setting is required: each machine would see
+    only its own part files of a local folder.
+    """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, at, True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The application's folder below ``root``."""
+    return f"{root(spark)}/spanloom-{spark.sparkContext.applicationId}"
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table and read again: lineage is cut, and a lost executor loses nothing."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the application's tables. To be called once no frame that was made from them will be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
