@@ -1,13 +1,16 @@
-"""Helpers that the operators of this subpackage share: shared scratch tables, input tables, A-Z folding."""
+"""Helpers that the operators of this subpackage share: input tables, row keys, A-Z folding, and the library's written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.ranks import numbered
+from spanloom.scratch import written as materialize
+
+__all__ = ["fold", "materialize", "numbered", "row_keyed", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -15,51 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def row_keyed(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with a unique key of each row that every use of the frame sees alike.
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage is cut and a lost executor loses nothing."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Rows read from Parquet files are named by file and place; others are numbered and written.
+    """
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.withColumn(column, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        except AnalysisException:  # not a frame of files
+            pass
+    return materialize(docs.withColumn(column, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))), "rows")
 
 
 def fold(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)
-
-
-def numbered(df: DataFrame, order: list[str], name: str, column: str = "rank") -> DataFrame:
-    """Number all rows from 0 in ``order`` without ever gathering them in one task.
-
-    The rows are range-partitioned and sorted, written with their place in their partition, and read again; the driver
-    sees one count per partition.
-    """
-    part, place = f"_{column}_part", f"_{column}_place"
-    low = F.lit((1 << 33) - 1)
-    ordered = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    kept = materialize(
-        ordered.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(low)),
-        name,
-    )
-    counts = sorted((r[0], r[1]) for r in kept.groupBy(part).agg((F.max(place) + 1).alias("n")).collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    if not starts:
-        return kept.withColumn(column, F.col(place)).drop(part, place)
-    # one entry per partition, so the map's size follows the partition count, not the rows
-    offsets = F.create_map(*[F.lit(x) for pair in starts for x in pair]) if len(starts) <= 512 else None
-    if offsets is None:
-        side = df.sparkSession.createDataFrame(starts, f"{part} int, _start long")
-        out = kept.join(F.broadcast(side), part)
-        return out.withColumn(column, F.col("_start") + F.col(place)).drop(part, place, "_start")
-    return kept.withColumn(column, F.element_at(offsets, F.col(part)) + F.col(place)).drop(part, place)
