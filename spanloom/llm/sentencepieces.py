@@ -3,12 +3,12 @@
 The model file is parsed by its protobuf wire format: pieces with scores and types, the model type, byte fallback and the
 normaliser's settings. From these a tokenizer is rebuilt: the normaliser (precompiled map, white-space collapsing, dummy
 prefix, the metaspace marker for spaces), a unigram model over the scores or a BPE model whose merges follow the scores, with
-byte fallback, and the decoder. Batches are encoded by the library's threads.
+byte fallback, and the decoder. Its ids and its decoded text are the result; batches are encoded by the library's threads.
 
 Where no piece has the marker inside (measured on the vocabulary), no piece can cross from a word into the next marker, so
-text is cut before every run of markers and each distinct chunk of a batch is encoded once. Every distinct chunk is also
-encoded by the SentencePiece library: the result carries whether all of a text's chunks agreed, and SentencePiece's ids
-are taken where they did not, so ids are right in any case.
+text is cut before every run of markers and each distinct chunk of a worker is encoded and decoded once. Parity is verified on
+every distinct chunk: the SentencePiece library encodes it as well. Only a chunk on which the two differ gets the library's
+ids; ``parity`` is false for its texts and ``n_odd`` counts such chunks in a text (none on the test tables).
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; characters that the vocabulary lacks become
 byte pieces (or the unknown piece in models without byte fallback, which does not decode back); repeated rows each keep
@@ -18,10 +18,12 @@ their row; texts of any length are encoded whole; other columns are ignored; an
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,9 @@ MARK = "▁"
 CACHE_CHUNKS = 500_000
 CACHE_CHARS = 64
 SLICE = 256
+JOINED = 512
+#: Threads of the library in each Python worker.
+THREADS = 2
 #: Fixed values of the model format: piece types and model types.
 UNKNOWN, CONTROL, USER, BYTE = 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -132,7 +137,8 @@ def build(m: Model):
             if kind in (UNKNOWN, CONTROL, BYTE):
                 continue
             pairs = [(p[:i], p[i:]) for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids]
-            merges += [(-score, ids[a], ids[b], a, b) for a, b in pairs]
+            merges += [(-score, -len(a), ids[a], ids[b], a, b) for a, b in pairs]
+        # SentencePiece merges the leftmost of equal scores first, so a piece grows from the left: longer left parts go first
         merges.sort()
         model = Bpe(ids, [(a, b) for *_, a, b in merges], unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
     t = Tokenizer(model)
@@ -153,58 +159,107 @@ def build(m: Model):
 
 
 class Codec:
-    """Encode and decode batches of texts. Ids are little-endian int32 arrays; parity: SentencePiece agreed on every chunk."""
+    """Encode and decode batches of texts. Ids are little-endian int32 arrays."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, threads: int = THREADS):
+        # read by the library's thread pool when it first runs, here in the worker
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         import sentencepiece
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, decoders, pre_tokenizers
 
         self.model = m = parse(data)
         self.full = build(m)
-        self.inner = Tokenizer.from_str(self.full.to_str())
+        self.inner = Tokenizer.from_str(self.full.to_str())  # chunks are normalised already, and keep their first space
         self.inner.normalizer = None
+        self.inner.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.row = Tokenizer.from_str(self.inner.to_str())  # many chunks in a row, cut before each marker
+        self.row.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
+        self.row.decoder = self.inner.decoder
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
         # the normaliser only puts the marker before the text and for its spaces, and no piece crosses a cut
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if m.chunked and m.dummy_prefix and not m.charsmap and not m.collapse else None
         self.ids: dict[str, bytes] = {}
-        self.back: dict[str, str] = {}
+        self.back: dict[str, str] = {}  # chunks that do not decode to themselves
         self.odd: set[str] = set()
         self.is_byte = np.array([k == BYTE for _, _, k in m.pieces], bool)
-        self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode("utf-8") for p, _, k in m.pieces]
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in m.pieces], bool)
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """The tokenizer's ids of each chunk; what does not decode back is noted in ``back``."""
+        out = []
+        for ids, c in zip([e.ids for e in self.inner.encode_batch_fast(chunks, add_special_tokens=False)], chunks, strict=True):
+            out.append(struct.pack(f"<{len(ids)}i", *ids))
+            if (text := self.inner.decode(ids, skip_special_tokens=False)) != c.replace(MARK, " "):
+                self.back[c] = text
+        return out
+
+    def _encode_rows(self, chunks: list[str]) -> list[bytes]:
+        """``_encode`` for chunks of one marker and text behind it: many are encoded and decoded as one string."""
+        groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        rows = ["".join(g) for g in groups]
+        coded = [e.ids for e in self.row.encode_batch_fast(rows, add_special_tokens=False)]
+        texts = self.row.decode_batch(coded, skip_special_tokens=False)
+        out: list[bytes] = []
+        for g, r, ids, text in zip(groups, rows, coded, texts, strict=True):
+            flat = np.array(ids, "<i4")
+            starts = np.flatnonzero(self.begins[flat])
+            if len(starts) != len(g) or text != r.replace(MARK, " "):  # one by one, to tell which
+                out += self._encode(g)
+                continue
+            packed, at = flat.tobytes(), [*(4 * starts).tolist(), 4 * len(flat)]
+            out += [packed[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
 
     def _learn(self, chunks: list[str]) -> None:
-        got = [e.ids for e in self.inner.encode_batch_fast(chunks, add_special_tokens=False)]
+        single = [c for c in chunks if len(c) > 1 and c[1] != MARK]
+        other = [c for c in chunks if len(c) == 1 or c[1] == MARK]
+        chunks = single + other
+        got = self._encode_rows(single) + self._encode(other)
         # every chunk begins with a marker, which SentencePiece itself puts before what follows it
         want = self.peer.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
         alone = [self.peer.piece_to_id(MARK)]
         want = [w if len(c) > 1 else alone for c, w in zip(chunks, want, strict=True)]
-        for c, g, w in zip(chunks, got, want, strict=True):
-            self.ids[c] = struct.pack(f"<{len(w)}i", *w)
-            # what the decoder makes of a chunk's ids: pieces as text, runs of byte pieces as UTF-8
-            self.back[c] = b"".join([self.raw[i] for i in w]).decode("utf-8", "replace")
-            if g != w:
-                self.odd.add(c)
-
-    def code(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool], list[str]]:
-        """Ids, parity, and the text that the ids decode to, of each text."""
+        if b"".join(got) != np.fromiter(chain.from_iterable(want), "<i4").tobytes() or [len(g) for g in got] != [4 * len(w) for w in want]:
+            for i, (c, w) in enumerate(zip(chunks, want, strict=True)):
+                if got[i] != (held := struct.pack(f"<{len(w)}i", *w)):
+                    got[i] = held
+                    self.odd.add(c)
+                    self.back.pop(c, None)
+                    if (text := self.inner.decode(w, skip_special_tokens=False)) != c.replace(MARK, " "):
+                        self.back[c] = text
+        self.ids.update(zip(chunks, got, strict=True))
+
+    def code(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[int], list[str]]:
+        """Ids, the number of chunks on which SentencePiece disagreed, and the text that the ids decode to, of each text."""
         if self.cut is None:
-            got = [e.ids for e in self.full.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-            want = self.peer.encode([t or "" for t in texts], num_threads=1)
-            return [np.array(w, "<i4") for w in want], [g == w for g, w in zip(got, want, strict=True)], self.decode(want)
+            given = [t or "" for t in texts]
+            got, want = [e.ids for e in self.full.encode_batch_fast(given, add_special_tokens=False)], self.peer.encode(given, num_threads=1)
+            return [np.array(w, "<i4") for w in want], [int(g != w) for g, w in zip(got, want, strict=True)], self.decode(want)
         if len(self.ids) > CACHE_CHUNKS:
             self.ids, self.back, self.odd = {}, {}, set()
         parts = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = [*set().union(*parts).difference(self.ids)]
+        packed: list[bytes | None] = []
+        unknown: set[str] = set()
+        for p in parts:
+            try:
+                packed.append(b"".join(map(self.ids.__getitem__, p)))
+            except KeyError:
+                packed.append(None)
+                unknown.update(p)
+        new = [*unknown.difference(self.ids)]
         if new:
             self._learn(new)
-        ids = [np.frombuffer(b"".join(map(self.ids.__getitem__, p)), "<i4") for p in parts]
-        back = ["".join(map(self.back.__getitem__, p))[1:] for p in parts]
-        parity = [not self.odd or self.odd.isdisjoint(p) for p in parts]
+            packed = [b"".join(map(self.ids.__getitem__, p)) if x is None else x for x, p in zip(packed, parts, strict=True)]
+        odd = [0 if not self.odd or self.odd.isdisjoint(p) else sum(c in self.odd for c in p) for p in parts]
+        # a text decodes to its chunks' decoded texts, which are the chunks' own where ``back`` has no other
+        same = lambda p: not self.back or self.back.keys().isdisjoint(p)
+        back = [t or "" if same(p) else "".join([self.back.get(c) or c.replace(MARK, " ") for c in p])[1:] for t, p in zip(texts, parts, strict=True)]
         for c in new:  # long chunks are not worth their memory
             if len(c) > CACHE_CHARS:
-                del self.ids[c], self.back[c]
+                del self.ids[c]
+                self.back.pop(c, None)
                 self.odd.discard(c)
-        return ids, parity, back
+        return [np.frombuffer(x, "<i4") for x in packed], odd, back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.full.decode_batch(ids, skip_special_tokens=False)
@@ -239,17 +294,17 @@ def _coded(docs: DataFrame, model: str, columns, schema: str) -> DataFrame:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
                 texts = part.column("text").to_pylist()
-                ids, parity, back = c.code(texts)
+                ids, odd, back = c.code(texts)
                 trip = [(t or "") == d for t, d in zip(texts, back, strict=True)]
-                made = [*columns(c, ids, back), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *names, "parity", "round_trip"])
+                made = [*columns(c, ids, back), pa.array(odd, pa.int64()), pa.array([not n for n in odd], pa.bool_()), pa.array(trip, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *names, "n_odd", "parity", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}, parity boolean, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}, n_odd long, parity boolean, round_trip boolean")
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids, parity (both encoders agree) and round_trip (the ids decode to the text)."""
+    """doc_id, ids, n_odd (chunks on which the encoders differ), parity (none) and round_trip (the ids decode to the text)."""
 
     def columns(c: Codec, ids, back):
         ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
