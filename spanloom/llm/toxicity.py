@@ -1,15 +1,17 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over the letters of all documents (its size is fixed by the alphabet). Suspicious pieces
-of a text (symbols or digits among letters, letters repeated three times or more, single characters set apart by spaces or
-punctuation) become character lattices: each character may be itself, a letter it imitates, or nothing, at a cost of the
-channel, and Viterbi decoding under the trigram model restores the likeliest word. Restored words join the text's plain words.
+A character trigram model is counted over all documents. Its alphabet is a-z and the corpus's most frequent other letters,
+``LETTERS`` in all, and one symbol stands for any letter beyond these. Suspicious pieces of a text (symbols or digits among
+letters, letters repeated three times or more, single characters set apart by spaces or punctuation) become character lattices:
+each character may be itself, a letter it imitates, or nothing, at a cost of the channel, and Viterbi decoding under the trigram
+model restores the likeliest word. Repeats of one character beyond ``MOST_REPEATS`` decide nothing more and are one. Restored
+words join the text's plain words. The patterns of suspicious pieces take linear time on any text.
 
 The scorer is learned from labelled documents outside the held-out third: at most ``PER_CLASS`` of each class, chosen by a
 hash of the doc_id, whose ids are broadcast, so no text is shuffled for the join with the labels. Texts of the sample that are
 near copies count once. Features are whole words and word beginnings of ``STEMS`` letters, in restored text; those in at least
-``SUPPORT`` of the toxic sample whose precision is clearly above the labels' rate are kept, and a logistic regression weighs
-their presence, repetition and density.
+``SUPPORT`` of the toxic sample whose precision is clearly above the labels' rate are kept (so they number at most a text's
+mean features divided by ``SUPPORT``, at any size), and a logistic regression weighs their presence, repetition and density.
 
 Defined cases: a null text counts as empty and scores like any text without features; with no labels, or only one class, every
 score is 0; null labels are not learned from; a doc_id with several labels counts for each; a null doc_id is in the learning
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,42 +38,86 @@ PER_CLASS = 10_000
 STEMS = (3, 4, 5, 6, 7)
 SUPPORT, LEAST_COUNT = 0.02, 4
 LIFT = 2.5
-MOST_FEATURES = 2000
 Z = 1.96
 STEPS, RIDGE = 500, 3e-5
 FLUSH = 200_000
 SKETCH = 4
 THRESHOLD = 0.7
-N = 28  # a-z, a word's border, any other letter
-OTHER = 27
+LETTERS = 62
+N = LETTERS + 2  # the letters, a word's border, any other letter
+OTHER = N - 1
+MOST_REPEATS = 6
+KNOWN, KNOWN_CHARS = 100_000, 64
 #: Letters that a character imitates.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "ø": "o", "*": "aeiou", "#": "h"}
 IMITATE, SKIP_REPEAT, SKIP_NOISE, SKIP_SYMBOL, SKIP_LETTER = 1.0, 0.5, 1.0, 10.0, 12.0
-_SYM = re.escape("".join(LEET))
-_LEET_WORD = re.compile(rf"(?<![^\W_])(?=[{_SYM}]*[a-z])[a-z{_SYM}]*[{_SYM}][a-z{_SYM}]*[a-z][0-9@$]*|(?<![^\W_])[a-z]+[0-9][a-z0-9]*")
-_REPEAT = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
-_SPACED = re.compile(rf"(?<![^\W_])[a-z{_SYM}](?:([ ._\-*~]{{1,2}})[a-z{_SYM}])(?:\1[a-z{_SYM}]){{1,}}(?![^\W_])")
+_SYMBOLS = "".join(LEET)
+_SYM, _LETTER = re.escape(_SYMBOLS), r"[^\W\d_]"
+_RUN = re.compile(rf"(?<!{_LETTER})(?<![{_SYM}]){_LETTER}*+[{_SYM}](?:{_LETTER}|[{_SYM}])*+")
+_HAS_SYMBOL = re.compile(rf"[{_SYM}]")
+_TAIL, _DIGITS = re.compile(r"[0-9@$]*"), re.compile(r"[0-9]*")
+_TRIPLE = re.compile(rf"({_LETTER})\1\1")
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}|[{_SYM}])(?:([ ._\-*~]{{1,2}})(?:{_LETTER}|[{_SYM}]))(?:\1(?:{_LETTER}|[{_SYM}]))+(?![^\W_])")
+_LONG_REPEAT = re.compile(rf"(.)\1{{{MOST_REPEATS - 1}}}\1+", re.S)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def _codes(low: str) -> np.ndarray:
-    """Symbols of lower-cased text: letters a-z, OTHER letters, one border for each run of anything else."""
-    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where((c >= 97) & (c <= 122), c - 96, np.where(c < 0xAA, 0, OTHER)).astype(np.int64)
+def leet_pieces(low: str) -> Iterator[str]:
+    """Runs of letters and imitating symbols with a symbol before their last letter or digits behind it, up to these."""
+    for m in _RUN.finditer(low):
+        body = m[0].rstrip(_SYMBOLS)
+        if not body:
+            continue
+        tail = _TAIL if _HAS_SYMBOL.search(body) else _DIGITS
+        rest = tail.match(m[0], len(body))[0]
+        if rest or tail is _TAIL:
+            yield body + rest
+
+
+def _table(letters: str) -> np.ndarray:
+    """Symbol of each code point: border 0, the letters from 1, any other letter."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    out[[i for i in range(sys.maxunicode + 1) if chr(i).isalpha()]] = OTHER
+    for i, x in enumerate(letters):
+        out[ord(x)] = i + 1
+    return out
+
+
+def _codes(low: str, table: np.ndarray) -> np.ndarray:
+    """Symbols of lower-cased text, one border for each run of anything but letters."""
+    out = table[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     out = np.concatenate([[0], out, [0]])
     return out[(out != 0) | (np.concatenate([[1], out[:-1]]) != 0)]
 
 
-def trigram_counts(docs: DataFrame) -> np.ndarray:
+def alphabet(docs: DataFrame) -> str:
+    """a-z and the most frequent other letters of all documents, at most ``LETTERS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for v in b.column("text"):
+                if (text := v.as_py()) and not text.isascii():
+                    total.update(re.sub(r"[\x00-\x7f]+", "", text.lower()))
+        own = [x for x in total if x.isalpha()]
+        yield pa.RecordBatch.from_arrays([pa.array([ord(x) for x in own], pa.int64()), pa.array([total[x] for x in own], pa.int64())], ["letter", "n"])
+
+    found = docs.select("text").mapInArrow(run, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(LETTERS - 26)
+    return "abcdefghijklmnopqrstuvwxyz" + "".join(chr(r[0]) for r in found.collect())
+
+
+def trigram_counts(docs: DataFrame, letters: str) -> np.ndarray:
     """Counts over the whole texts of all documents; (N, N, N)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(letters)
         total = np.zeros(N**3, np.int64)
         for b in batches:
             for v in b.column("text"):
                 if text := v.as_py():
-                    c = _codes(text.lower())
-                    total += np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N**3) if len(c) > 2 else 0
+                    c = _codes(text.lower(), table)
+                    if len(c) > 2:
+                        np.add.at(total, (c[:-2] * N + c[1:-1]) * N + c[2:], 1)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["gram", "n"])
 
@@ -81,33 +128,35 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
 
 class Channel:
-    """Viterbi decoding of suspicious pieces under a trigram model."""
+    """Viterbi decoding of suspicious pieces under a trigram model of ``letters``."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, letters: str):
         uni = counts.sum((0, 1)) + 1.0
         bi = counts.sum(0) + 5 * (uni / uni.sum())[None, :]
         bi /= bi.sum(1, keepdims=True)
         tri = counts + 5 * bi[None]
         self.log = np.log(tri / tri.sum(2, keepdims=True)).tolist()
+        self.symbol = {x: i + 1 for i, x in enumerate(letters)}
         self.known: dict[str, str] = {}
 
     def restore(self, piece: str) -> str:
-        if piece not in self.known:
-            if len(self.known) > 100_000:
+        piece = _LONG_REPEAT.sub(lambda m: m[1] * MOST_REPEATS, piece)
+        if (out := self.known.get(piece)) is None:
+            if len(self.known) > KNOWN:
                 self.known = {}
-            self.known[piece] = self._decode(piece)
-        return self.known[piece]
+            out = self._decode(piece)
+            if len(piece) <= KNOWN_CHARS:
+                self.known[piece] = out
+        return out
 
     def _decode(self, piece: str) -> str:
         states = {(0, 0): (0.0, None)}  # last two symbols to (cost, chain of letters)
         log, before = self.log, ""
         for ch in piece:
-            ways: list[tuple[int, float]] = []
-            if "a" <= ch <= "z":
-                ways.append((ord(ch) - 96, 0.0))
-            elif ch.isalpha():
-                ways.append((OTHER, 0.0))
-            ways += [(ord(x) - 96, IMITATE) for x in LEET.get(ch, "")]
+            ways: list[tuple[int, str, float]] = []
+            if ch.isalpha():
+                ways.append((self.symbol.get(ch, OTHER), ch, 0.0))
+            ways += [(self.symbol[x], x, IMITATE) for x in LEET.get(ch, "")]
             if ch == before:
                 skip = SKIP_REPEAT
             elif ch in " ._-~":
@@ -118,11 +167,11 @@ class Channel:
                 skip = SKIP_SYMBOL if ch in LEET else SKIP_NOISE
             after: dict = {}
             for (a, b), (cost, chain) in states.items():
-                for s, extra in ways:
+                for s, x, extra in ways:
                     new = cost + extra - log[a][b][s]
                     key = (b, s)
                     if key not in after or new < after[key][0]:
-                        after[key] = (new, (s, chain))
+                        after[key] = (new, (x, chain))
                 new = cost + skip
                 if (a, b) not in after or new < after[a, b][0]:
                     after[a, b] = (new, chain)
@@ -130,7 +179,7 @@ class Channel:
         _, chain = min(((cost - log[a][b][0], chain) for (a, b), (cost, chain) in states.items()), key=lambda x: x[0])
         out = []
         while chain:
-            out.append(chr(96 + chain[0]) if chain[0] != OTHER else "?")
+            out.append(chain[0])
             chain = chain[1]
         return "".join(out[::-1])
 
@@ -138,12 +187,13 @@ class Channel:
         """Plain and restored words, with repeats."""
         low = (text or "").lower()
         out = _WORDS.findall(low)
-        for pattern in (_LEET_WORD, _REPEAT, _SPACED):
-            for m in pattern.finditer(low):
-                if word := self.restore(m[0]):
-                    out.append(word)
-                    if pattern is _SPACED:  # an article or pronoun may stand before spaced letters
-                        out.append(word[1:])
+        restored = [self.restore(p) for p in leet_pieces(low)]
+        if _TRIPLE.search(low):
+            restored += [self.restore(w) for w in out if _TRIPLE.search(w)]
+        out += [w for w in restored if w]
+        for m in _SPACED.finditer(low):
+            if word := self.restore(m[0]):
+                out += [word, word[1:]]  # an article or pronoun may stand before spaced letters
         return out
 
 
@@ -205,7 +255,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Scorer:
     spark = docs.sparkSession
-    channel = Channel(trigram_counts(docs))
+    letters = alphabet(docs)
+    channel = Channel(trigram_counts(docs, letters), letters)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     totals = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(totals) < 2:
@@ -254,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
     p, seen = F.col("n1") * w1 / (F.col("n1") * w1 + F.col("n0") * w0), F.col("n1") + F.col("n0")
     low = (p + Z * Z / 2 / seen - Z * F.sqrt((p * (1 - p) + Z * Z / 4 / seen) / seen)) / (1 + Z * Z / seen)
     good = counts.where((F.col("feature") != "") & (F.col("n1") >= least)).withColumn("low", low).where(F.col("low") > min(0.5, LIFT * prior))
-    chosen = [r[0] for r in good.orderBy(F.desc(F.col("low") * F.col("n1")), "feature").limit(MOST_FEATURES).collect()]
+    chosen = [r[0] for r in good.orderBy("feature").collect()]
     scorer = Scorer(channel, chosen)
     if not chosen:
         return scorer
