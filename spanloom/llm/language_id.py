@@ -50,7 +50,7 @@ def family(lang: str) -> str:
 def _letters() -> np.ndarray:
     """Code point to itself for letters, else 0."""
     out = np.zeros(sys.maxunicode + 1, np.uint32)
-    own = [i for i in range(0x30000) if chr(i).isalpha()]
+    own = [i for i in range(sys.maxunicode + 1) if chr(i).isalpha()]
     out[own] = own
     return out
 

@@ -91,7 +91,7 @@ def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
 
 def settle(rows: DataFrame, shards: int) -> DataFrame:
     """``rows`` with exact quotas (counts at most one apart) and gapless slots."""
-    ranked = numbered(rows.withColumn("_single", F.col("group_rows").isNull().cast("int")), ["shard", "_single", "grp", "doc_id"], "shard-order")
+    ranked = numbered(rows.withColumn("_single", F.col("group_rows").isNull().cast("int")), ["shard", "_single", "grp", "doc_id"], "rank")
     have = {r[0]: r[1] for r in ranked.groupBy("shard").count().collect()}
     have = [have.get(s, 0) for s in range(shards)]
     n = sum(have)

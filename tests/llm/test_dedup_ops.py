@@ -42,6 +42,32 @@ def test_exact_dedup(spark, split):
     assert E.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("history", [None, "none", "half", "all"])
+def test_exact_dedup_of_ids_beyond_doubles(spark, history):
+    """Neighbouring ids that no double tells apart, with nulls among them on either side, in many shards."""
+    r = random.Random(7)
+    rows = [(r.choice([None, (1 << 53) + i, (1 << 60) + i, -(1 << 60) - i]), f"text {r.randrange(150)}") for i in range(500)]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], DOCS)
+    cut = {"none": 0, "half": 250, "all": 500}.get(history)
+    frame = lambda part: spark.createDataFrame([(*x, "clash") for x in part], DOCS)
+    got = E.dedup(df, shard_keys=16) if history is None else E.dedup(frame(rows[cut:]), frame(rows[:cut]), shard_keys=16)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == dedup_brute(rows)
+
+
+def test_exact_dedup_of_string_ids(spark):
+    rows = [(f"id{i:03}", f"t{i % 7}") for i in range(40)] + [(None, "t1"), (None, "alone")]
+    got = E.dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((tuple(x) for x in got), key=str) == dedup_brute(rows)
+
+
+def test_members_and_nonmembers_of_the_history(spark):
+    frame = lambda rows: E.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    old, new = [(i, f"t{i}") for i in range(50)], [(100 + i, f"t{i}") for i in range(40, 90)] + [(300, "t60"), (301, "t45")]
+    got = {r.digest.hex(): (r.keep_id, r.group_size, r.member) for r in E.group_results(frame(new), frame(old), shard_keys=8).collect()}
+    key = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(got) == 90 and got[key("t3")] == (3, 1, True) and got[key("t45")] == (301, 3, True) and got[key("t60")] == (300, 2, False) and got[key("t89")] == (189, 1, False)
+
+
 def fingerprint_brute(text):
     import re
 
@@ -108,34 +134,58 @@ def test_links_connect_what_brute_force_connects(spark, width):
     assert {frozenset(v) for v in got.values()} == union(fps)
 
 
-def test_long_lists_are_split_exactly(monkeypatch):
-    monkeypatch.setattr(simhash, "SPLIT_LIST", 8)
-    fps = np.array([f & ~(0xFFFF << 48) | (7 << 48) for f in cluster(random.Random(9), 30)], np.uint64)
-    pairs = [tuple(map(int, p)) for x in simhash.link_list(np.unique(fps), (0, 1)) for p in x]
-    label = {int(f): int(f) for f in fps}
+def found_by(spark, fps, width, split):
+    edges = simhash.links(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long"), width, split)
+    assert all(bin(r.u % (1 << 64) ^ r.v % (1 << 64)).count("1") <= 4 for r in edges.collect())
+    roots = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(edges).collect()}
+    got = {}
+    for f in fps:
+        got.setdefault(roots.get(f, f), set()).add(f)
+    return {frozenset(v) for v in got.values()}
 
-    def find(a):
-        while label[a] != a:
-            a = label[a]
-        return a
 
-    for a, b in pairs:
-        assert bin(a ^ b).count("1") <= 4
-        label[find(a)] = find(b)
-    assert {frozenset(x for x in label if find(x) == k) for k in {find(x) for x in label}} == union(fps)
+def test_long_lists_are_dealt_anew_exactly(spark):
+    """Lists longer than three members at any number of fixed positions, down to keys that fix twelve half-bytes."""
+    r = random.Random(9)
+    near = {7 << 48 | r.getrandbits(16) for _ in range(60)} | {7 << 48 | 5 << 40 | sum(1 << r.randrange(32) for _ in range(3)) for _ in range(60)}
+    fps = sorted(near | set(cluster(r, 15)))
+    assert found_by(spark, fps, 2, 3) == union(fps)
+
+
+def test_dealing_anew_loses_no_link():
+    """Whatever four positions or more agree, a pair shares one key at every level."""
+    r = random.Random(3)
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a
+        for i in r.sample(range(64), r.randrange(1, 5)):
+            b ^= 1 << i
+        nibbles = {i for i in range(16) if a >> 4 * (15 - i) & 15 == b >> 4 * (15 - i) & 15}
+        agree = [p for p in range(8) if {2 * p, 2 * p + 1} <= nibbles]
+        assert len(agree) >= 4 and len(nibbles - {i for p in agree[:4] for i in (2 * p, 2 * p + 1)}) >= 4
+
+
+def test_keep_one_of_repeated_and_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, base), (5, base + " tail"), (5, "another text altogether " * 3), (None, base), (None, "nobody has an id here"), (None, "nobody has an id here"), (9, None)]
+    got = simhash.keep_one(spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, root string"))
+    assert got.columns == ["doc_id", "text", "root"]
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    fp = [simhash.fingerprint(t) for _, t in rows]
+    assert len(kept) == len(union(set(fp))) and (9, None) in kept and (None, "nobody has an id here") in kept and sum(i == 5 for i, _ in kept) == 2
 
 
 def test_near_dedup(spark):
     r = random.Random(6)
     base = [" ".join(r.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) for _ in range(80)) for _ in range(10)]
-    rows = [(i, base[i % 10] if i % 3 else base[i % 10] + " tail") for i in range(60)] + [(60, None), (61, ""), (7, base[3])]
+    rows = [(i, base[i % 10] if i % 3 else base[i % 10] + " tail") for i in range(60)] + [(60, None), (61, ""), (7, base[3]), (None, base[3]), (None, "only a row without an id has this")]
     got = simhash.near_dedup(spark.createDataFrame([(*x, "clash") for x in rows], DOCS)).collect()
     fp = {(x.doc_id, x.fingerprint): x.component_id for x in got}
     assert len(got) == len(rows)
     groups = union({int(f, 16) for _, f in fp})
     for g in groups:
-        ids = {i for i, f in fp if int(f, 16) in g}
-        assert {fp[k] for k in fp if int(k[1], 16) in g} == {min(ids)}
+        ids = {i for i, f in fp if int(f, 16) in g} - {None}
+        assert {fp[k] for k in fp if int(k[1], 16) in g} == {min(ids, default=None)}
     assert simhash.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -156,3 +206,14 @@ def test_sharding_law_and_links(spark, n):
         apart = lambda shard_of: sum(len({shard_of[i] for i in g}) - 1 for g in groups)
         groups = [[i for i, t in rows if t == k] for k in {t for _, t in rows if t and not t.startswith("own")}]
         assert apart({x.doc_id: x.shard for x in got}) < 0.3 * apart({i: r.randrange(16) for i, _ in rows})
+
+
+def test_sharding_of_null_and_repeated_ids(spark):
+    """Rows that are equal in every column, ids that are null, repeated or strings: each row its own slot."""
+    rows = [(None, "same")] * 200 + [(7, "same")] * 30 + [(7, f"own {i}") for i in range(30)] + [(None, None)] * 20
+    for kind in ("long", "string"):
+        given = [(i if i is None or kind == "long" else f"id{i}", t, 0) for i, t in rows]
+        got = sharding.shard(spark.createDataFrame(given, f"doc_id {kind}, text string, shard int")).collect()
+        assert sorted((x.doc_id is None, x.size) for x in got) == sorted((i is None, len(t or "") + 1) for i, t in rows)
+        by = {s: sorted(x.slot for x in got if x.shard == s) for s in range(16)}
+        assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(v == list(range(len(v))) for v in by.values())
