@@ -12,35 +12,25 @@ from pyspark.sql import functions as F
 from spanloom.llm import decontaminate, exact_dedup, language_id, sentencepieces, simhash
 from spanloom.llm.common import materialize, table
 
-#: A document goes if no language is found or the best one's score is below this.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language (4)."""
     named = language_id.identify(docs, language_id.fit(docs), ("_lang_pred", "_lang_score"))
-    return named.where((F.col("_lang_pred") != language_id.UND) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return named.where(F.col("_lang_pred") != language_id.UND).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the largest doc_id of each group of equal texts (9)."""
-    groups = exact_dedup.dedup(docs).where("kept").select(F.unhex("text_sha256").alias("_digest"), F.col("doc_id").alias("_keep"))
-    kept = materialize(groups, "pipeline-kept")
-    own = docs.withColumn("_text_digest", exact_dedup.digest_of(F.col("text")))
-    # joined on both, so the rows of a common text are spread by their ids
-    out = own.join(kept.distinct().hint("merge"), (F.col("_text_digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = kept.count() > kept.distinct().count()
-    return (out.dropDuplicates(["_text_digest", "doc_id"]) if repeated else out).select(*docs.columns)
+    return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each component of near copies (8)."""
-    found = simhash.near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(materialize(found, "pipeline-near").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents contaminated by benchmark items (3)."""
+    """Drop documents that hold a benchmark passage, however long they are (3)."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
