@@ -1,6 +1,6 @@
 """Command line and the functions behind it: ``python -m spanloom.cli COMMAND``.
 
-Commands: doctor, hex, smoke, lexeme-decode, span-ledger, bridge-jsonl, remap, repair. Reports go to standard output and, with
+Commands: doctor, hex, smoke, lexeme-decode, span-ledger, bridge-jsonl, remap, repair, repair-du. Reports go to standard output and, with
 ``--receipts``, to a receipt file.
 """
 
@@ -48,7 +48,7 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
     return files.raw_bytes(spark, path).select(F.lit(0).cast("bigint").alias("doc_id"), "raw")
 
 
-def span_ledger(spark: SparkSession, raw: str, du_run: str, target: str, max_bytes: int = MAX_BYTES, gmap: str = "gmap24") -> dict:
+def span_ledger(spark: SparkSession, raw: str, du_run: str, target: str, max_bytes: int = MAX_BYTES, gmap: str | None = None) -> dict:
     """The ledger of one run: its counters, whether both prefixes rebuild the raw bytes, and up to 80 samples."""
     docs, du, tg = _raw(spark, raw), files.du_run(spark, du_run, gmap=gmap, max_bytes=max_bytes), files.target_run(spark, target, max_bytes=max_bytes)
     row = ledger.ledger(docs, du, tg, max_bytes).first().asDict()
@@ -65,18 +65,17 @@ def bridge_jsonl(spark: SparkSession, raw: str, source: str, du: str, target: st
     for name, path in zip(bridge.STREAMS, (source, du, target), strict=True):
         own = files.token_jsonl(spark, path, stream=name)
         t = own if t is None else t.unionByName(own)
-    validate.strict(validate.token_errors(t, docs)).collect()
+    validate.strict(validate.token_errors(t, docs, bridge.STREAMS)).collect()
     return bridge.report(t, docs).first().asDict()
 
 
-def remap_run(spark: SparkSession, raw: str, du_run: str, vocabulary: str, chunk_bytes: int, gmap: str = "gmap24") -> dict:
-    """Map a run's dictionary into a vocabulary, expand its stream, and compare the three digests."""
-    vocab, stream = files.model_bin(spark, vocabulary), files.du_run(spark, du_run, gmap=gmap)
-    mapped = remap.build_map(files.dictionary(spark, f"{du_run}/merged.dict"), usable(vocab))
-    row = remap.summary(stream.select("doc_id", "pos", F.col("id").alias("gid")), mapped, chunk_bytes).first().asDict()
-    row |= remap.map_size(mapped).first().asDict()
-    row["raw_sha256"] = files.raw_bytes(spark, raw).select(F.sha2("raw", 256)).first()[0]
-    return row | {"exact": row["raw_sha256"] == row["du_sha256"]}
+def remap_run(spark: SparkSession, raw: str, du_run: str, vocabulary: str, chunk_bytes: int, gmap: str | None = None) -> dict:
+    """Map a run's dictionary into a vocabulary, expand its stream, and compare raw, DU and target bytes by length and digest."""
+    vocab, stream = usable(files.model_bin(spark, vocabulary)), files.du_run(spark, du_run, gmap=gmap)
+    mapped = remap.build_map(files.dictionary(spark, f"{du_run}/merged.dict"), vocab)
+    summed = remap.summary(stream.select("doc_id", "pos", F.col("id").alias("gid")), mapped, vocab, chunk_bytes)
+    row = remap.triangle(summed, _raw(spark, raw)).first().asDict() | remap.map_size(mapped).first().asDict()
+    return row | {"raw_sha256": files.raw_bytes(spark, raw).select(F.sha2("raw", 256)).first()[0], "vocabulary_size": files.du_vocabulary_size(spark, du_run)}
 
 
 def repair_files(spark: SparkSession, server: str, prefix: str, delta: str, *, version: int = 2, max_drop: int = 8, fixed_drop: int | None = None, tokenizer=None) -> dict:
@@ -86,6 +85,30 @@ def repair_files(spark: SparkSession, server: str, prefix: str, delta: str, *, v
     return out | {"n_ids": len(out.pop("ids") or ())}
 
 
+def _du_state(run: DataFrame, name: str) -> DataFrame:
+    """One row: the DU state of one run's token rows; a snapshot holds it whole."""
+    rows = run.agg(F.array_sort(F.collect_list(F.struct("pos", "id", "bytes", "byte_end"))).alias("t"))
+    pick = lambda f: F.transform("t", lambda x: x[f])
+    return rows.select(F.struct(pick("id").alias("ids"), pick("bytes").alias("parts"), F.concat(F.array(F.lit(0).cast("bigint")), pick("byte_end")).alias("bounds")).alias(name))
+
+
+def repair_du_files(spark: SparkSession, server: str, prefix: str, delta: str, spans: str, prefix_run: str, delta_run: str, *, max_drop: int = 8, fixed_drop: int | None = None, tokenizer=None) -> dict:
+    """DU-aware repair of one append: a snapshot from a prefix, its native token lines and its DU run, and the delta's DU run.
+
+    The report has the candidate, its trials and digests; ``gate`` names the first condition that failed, or is null.
+    """
+    raw, more = (sinks.read_bytes(spark, p) or b"" for p in (prefix, delta))
+    native = files.token_jsonl(spark, spans).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex")))).alias("t"))
+    native = native.select(F.transform("t", lambda x: x["id"]).alias("native_ids"), F.transform("t", lambda x: F.struct(x["id"].alias("id"), x["byte_start"].alias("byte_start"), x["byte_end"].alias("byte_end"), x["bytes_hex"].alias("bytes_hex"))).alias("native_spans"))
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    row = spark.createDataFrame([(0, raw, len(raw), digest(raw), more)], "doc_id bigint, prefix binary, prefix_len bigint, prefix_sha256 string, delta binary")
+    for one in (native, _du_state(files.du_run(spark, prefix_run), "du_state"), _du_state(files.du_run(spark, delta_run), "delta_state")):
+        row = row.join(one.withColumn("doc_id", F.lit(0).cast("bigint")), "doc_id")  # one row each
+    found = repair.repair_snapshots(row, tokenizer or HttpTokenizer(server), max_drop=max_drop, fixed_drop=fixed_drop)
+    out = found.withColumns({"gate": repair.gates(), "ids_sha256": B.ids_sha256(F.col("ids")), "n_ids": F.size("ids")}).drop("doc_id", "ids").first().asDict(recursive=True)
+    return out | {"prefix_sha256": digest(raw), "delta_sha256": digest(more), "full_sha256": digest(raw + more), "drop_selection": "search" if fixed_drop is None else "fixed", "exact": out["gate"] is None}
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="spanloom", description=__doc__.splitlines()[0])
     p.add_argument("--receipts", help="folder for receipt files")
@@ -106,13 +129,17 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--max-bytes", type=int, default=MAX_BYTES)
     r.add_argument("--chunk-bytes", type=int, default=100_000_000)
     for q in (s, r):
-        q.add_argument("--gmap", default="gmap24", choices=("gmap24", "gmap32"))
+        q.add_argument("--gmap", choices=("gmap24", "gmap32"))
     t = sub.add_parser("repair")
     for n in ("server", "prefix", "delta"):
         t.add_argument(f"--{n}", required=True)
     t.add_argument("--version", type=int, default=2, choices=(1, 2))
-    t.add_argument("--max-drop", type=int, default=8)
-    t.add_argument("--fixed-drop", type=int)
+    u = sub.add_parser("repair-du")
+    for n in ("server", "prefix", "delta", "spans", "prefix-run", "delta-run"):
+        u.add_argument(f"--{n}", required=True)
+    for q in (t, u):
+        q.add_argument("--max-drop", type=int, default=8)
+        q.add_argument("--fixed-drop", type=int)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("spanloom").getOrCreate()
     if a.command == "doctor":
@@ -132,6 +159,8 @@ def main(argv: list[str] | None = None) -> int:
         out = bridge_jsonl(spark, a.raw, a.source, a.du, a.target)
     elif a.command == "repair":
         out = repair_files(spark, a.server, a.prefix, a.delta, version=a.version, max_drop=a.max_drop, fixed_drop=a.fixed_drop)
+    elif a.command == "repair-du":
+        out = repair_du_files(spark, a.server, a.prefix, a.delta, a.spans, a.prefix_run, a.delta_run, max_drop=a.max_drop, fixed_drop=a.fixed_drop)
     else:
         out = remap_run(spark, a.raw, a.du_run, a.vocabulary, a.chunk_bytes, a.gmap)
     print(sinks.report_json(out), end="")

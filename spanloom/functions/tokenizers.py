@@ -16,6 +16,12 @@ class Tokenizer(Protocol):
     def decode(self, ids: list[int]) -> bytes: ...
 
 
+def parts_of(tok: Tokenizer, ids: list[int]) -> list[bytes]:
+    """The bytes of each id: the tokenizer's own ``parts`` where it has them, else one ``decode`` per id."""
+    own = getattr(tok, "parts", None)
+    return own(ids) if own else [tok.decode([i]) for i in ids]
+
+
 def piece_id(raw: bytes) -> int:
     """Like ``views.id_of``."""
     return int.from_bytes(hashlib.sha256(raw).digest()[:4], "big") & 0x7FFFFFFF
@@ -23,22 +29,29 @@ def piece_id(raw: bytes) -> int:
 
 @dataclass
 class RegexTokenizer:
-    """Pieces of a view; ids are hashes, so ``decode`` knows only what this object has encoded."""
+    """Pieces of a view; ids are hashes, so ``decode`` knows only what this object has encoded: of pieces that share an id, the last one."""
 
     pattern: str
     seen: dict[int, bytes] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)
+    clashing: set[str] = field(default_factory=set)
 
     def encode(self, raw: bytes) -> list[int]:
-        out = []
-        for m in re.finditer(self.pattern, raw.decode("utf-8")):  # a window that is no UTF-8 is an error, never repaired
-            b = m[0].encode("utf-8")
-            i = piece_id(b)
-            self.seen[i] = b
-            out.append(i)
-        return out
+        found = re.findall(self.pattern, raw.decode("utf-8"))  # a window that is no UTF-8 is an error, never repaired
+        for p in set(found).difference(self.known):
+            b = p.encode("utf-8")
+            self.known[p] = i = piece_id(b)
+            if self.seen.setdefault(i, b) != b:
+                self.clashing |= {p, self.seen[i].decode("utf-8")}
+        if self.clashing and not self.clashing.isdisjoint(found):
+            self.seen |= {self.known[p]: p.encode("utf-8") for p in found if p in self.clashing}
+        return list(map(self.known.__getitem__, found))
+
+    def parts(self, ids: list[int]) -> list[bytes]:
+        return list(map(self.seen.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(self.seen[i] for i in ids)
+        return b"".join(self.parts(ids))
 
 
 class GreedyTokenizer:
@@ -56,13 +69,16 @@ class GreedyTokenizer:
         self.horizon = max((len(b) for _, b in vocab), default=1) - 1
 
     def encode(self, raw: bytes) -> list[int]:
-        ids, at = self.pieces.greedy(raw)
-        if ids is None:
+        packed, at = self.pieces.packed(raw)
+        if packed is None:
             raise ValueError(f"no token at byte offset {at}")
-        return ids
+        return memoryview(packed).cast("q").tolist()
+
+    def parts(self, ids: list[int]) -> list[bytes]:
+        return list(map(self.bytes.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(self.bytes[i] for i in ids)
+        return b"".join(self.parts(ids))
 
 
 @dataclass
@@ -121,5 +137,8 @@ class RankedTokenizer:
     def encode(self, raw: bytes) -> list[int]:
         return self.own.encode_ordinary(raw.decode("utf-8"))
 
+    def parts(self, ids: list[int]) -> list[bytes]:
+        return self.own.decode_tokens_bytes(ids)
+
     def decode(self, ids: list[int]) -> bytes:
         return self.own.decode_bytes(ids)

@@ -1,18 +1,20 @@
 """Span alignment of two token streams over the same bytes, and its boundary statistics.
 
 ``align_tokens`` works on token rows: boundary events of both streams are swept once per document with running window sums,
-so the cost is linear where an overlap join would be quadratic in a document's tokens. ``align_lengths`` works on
-per-document arrays of piece lengths and is map-only.
+so the cost is linear where an overlap join would be quadratic in a document's tokens. ``length_stats`` and
+``length_spans`` work on per-document arrays of piece lengths and are map-only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.columns import Numbers
 from spanloom.schema import extended
 
 ALIGNED = ["doc_id", "left_index", "left_id", "byte_start", "byte_end", "right_start", "right_end", "covered", "starts_on", "ends_on"]
@@ -73,10 +75,12 @@ def boundary_stats(aligned: DataFrame, by: list[str] | None = None) -> DataFrame
     return aligned.groupBy(*(by if by is not None else ["doc_id"])).agg(*stats_columns())
 
 
-def _match(left, right):
-    """Index ranges and flags of one document's left bounds in its right bounds (both sorted, from 0)."""
-    import numpy as np
+def match(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index ranges and flags of one document's left bounds in its right bounds (both sorted, from 0).
 
+    For each left span [s, e): the last right bound <= s, the first one >= e, and whether s and e are right bounds. Of equal
+    right bounds (empty tokens), a start meets the last and an end the first.
+    """
     r0 = np.searchsorted(right, left[:-1], "right") - 1
     r1 = np.searchsorted(right, left[1:], "left")
     inner = right[np.minimum(r0, len(right) - 1)] == left[:-1]
@@ -87,26 +91,54 @@ def _match(left, right):
 STATS = ("tokens", "exact", "cross_or_cut", "start_inside", "end_inside", "max_covered")
 
 
+def match_stats(r0: np.ndarray, r1: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[int, ...]:
+    """``STATS`` of a match."""
+    if not len(s):
+        return (0,) * len(STATS)
+    both = s & e
+    return len(s), int(both.sum()), int((~both).sum()), int((~s).sum()), int((~e).sum()), int((r1 - r0).max())
+
+
+def target_du_span(bounds: np.ndarray, start: int, end: int) -> tuple[int, int, int, bool, bool]:
+    """(first, last + 1, count, start is a bound, end is a bound) of the tokens with ``bounds`` that the span [start, end) meets."""
+    r0, r1, s, e = match(np.array([start, end]), np.asarray(bounds))
+    return int(r0[0]), int(r1[0]), int(r1[0] - r0[0]), bool(s[0]), bool(e[0])
+
+
 def length_stats(views: DataFrame, left: str, right: str, prefix: str = "") -> DataFrame:
     """Boundary statistics per row from two arrays of piece lengths of the same text: map-only, one Arrow pass.
 
     Adds ``STATS`` columns (with ``prefix``) to ``views`` and drops nothing.
     """
-    import numpy as np
-
-    def bounds(column, i):
-        x = column.values.to_numpy(zero_copy_only=False)[column.offsets[i].as_py() : column.offsets[i + 1].as_py()]
-        return np.concatenate([[0], np.cumsum(x)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros((b.num_rows, 6), np.int64)
-            a, c = b.column(left), b.column(right)
+            out = np.zeros((b.num_rows, len(STATS)), np.int64)
+            x, y = Numbers(b.column(left)), Numbers(b.column(right))
             for i in range(b.num_rows):
-                x, y = bounds(a, i), bounds(c, i)
-                if len(x) > 1:
-                    r0, r1, s, e = _match(x, y)
-                    out[i] = len(s), (s & e).sum(), (~(s & e)).sum(), (~s).sum(), (~e).sum(), (r1 - r0).max()
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[:, j]) for j in range(6)]], [*b.schema.names, *[prefix + n for n in STATS]])
+                a, c = x.bounds(i), y.bounds(i)
+                if len(a) > 1:
+                    out[i] = match_stats(*match(a, c))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[:, j]) for j in range(len(STATS))]], [*b.schema.names, *[prefix + n for n in STATS]])
 
     return views.mapInArrow(run, extended(views.schema, ", ".join(f"{prefix}{n} bigint" for n in STATS)))
+
+
+def length_spans(views: DataFrame, left: str, right: str) -> DataFrame:
+    """One row per left piece from two arrays of piece lengths: pos, lo, hi, starts_on, ends_on, found by binary search; map-only.
+
+    The other columns of ``views`` are repeated, the two arrays are not.
+    """
+    kept = [c for c in views.columns if c not in (left, right)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = Numbers(b.column(left)), Numbers(b.column(right))
+            for i in range(0, b.num_rows, 64):
+                found = [match(x.bounds(j), y.bounds(j)) for j in range(i, min(i + 64, b.num_rows))]
+                sizes = [len(f[0]) for f in found]
+                own = b.select(kept).take(pa.array(np.repeat(np.arange(i, i + len(found)), sizes)))
+                cols = [pa.array(np.concatenate([f[k] for f in found]).astype(t)) for k, t in enumerate((np.int64, np.int64, bool, bool))]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int64)), *cols], [*kept, "pos", "lo", "hi", "starts_on", "ends_on"])
+
+    return views.mapInArrow(run, extended(views.select(*kept).schema, "pos bigint, lo bigint, hi bigint, starts_on boolean, ends_on boolean"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.bytestrings import valid_prefix_len
-from spanloom.functions.tokenizers import Tokenizer
+from spanloom.functions.tokenizers import Tokenizer, parts_of
 from spanloom.schema import TOKENS, extended
 
 CACHE = 200_000
@@ -30,7 +30,7 @@ def records(docs: DataFrame, tokenizer: Tokenizer, stream: str, max_bytes: int |
         for b in batches:
             for doc, v in zip(b.column("doc_id"), b.column("raw"), strict=True):
                 whole, ids = v.as_py(), given.value.encode(v.as_py())
-                parts, ends, at = [given.value.decode([i]) for i in ids], [], 0
+                parts, ends, at = parts_of(given.value, ids), [], 0
                 for p in parts:
                     at += len(p)
                     ends.append(at)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.bytestrings import ratio
-from spanloom.operators.align import align_tokens
+from spanloom.operators.align import align_tokens, match, match_stats
+from spanloom.operators.columns import Numbers
+from spanloom.schema import extended
 
 
 def limited(docs: DataFrame, du: DataFrame, target: DataFrame, max_bytes: int) -> DataFrame:
@@ -33,6 +39,32 @@ def ledger(docs: DataFrame, du: DataFrame, target: DataFrame, max_bytes: int, *,
     return out.withColumn("fraction_exact", F.round(share, 6) if legacy else share)
 
 
+def ledger_lengths(views: DataFrame, max_bytes: int, *, legacy: bool = False) -> DataFrame:
+    """``ledger`` from one row per document: doc_id, raw_len, and the arrays of byte lengths du and target. Map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            du, target, out = Numbers(b.column("du")), Numbers(b.column("target")), np.zeros((b.num_rows, 8), np.int64)
+            for i, raw_len in enumerate(b.column("raw_len").to_pylist()):
+                x, y = du.bounds(i), target.bounds(i)
+                limit = min(raw_len, int(x[-1]), int(y[-1]), max_bytes)
+                y = y[: int(np.searchsorted(y[1:], limit, "right")) + 1]
+                out[i, 0], out[i, 7] = limit, np.searchsorted(x[1:], limit, "right")
+                if len(y) > 1:
+                    r0, r1, s, e = match(y, x)
+                    out[i, 1:7] = match_stats(r0, r1, s, e)
+                    if legacy:
+                        out[i, 2] = (s & e & (r1 - r0 == 1)).sum()
+                        out[i, 3] = len(s) - out[i, 2]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(out[:, j]) for j in range(8)]], ["doc_id", *names])
+
+    names = ["byte_limit", "target_tokens", "exact", "cross_or_cut", "start_inside", "end_inside", "max_covered", "du_tokens"]
+    own = views.select("doc_id", "raw_len", "du", "target")
+    out = own.mapInArrow(run, extended(own.select("doc_id").schema, ", ".join(f"{n} bigint" for n in names)))
+    share = ratio(F.col("exact"), F.col("target_tokens"))
+    return out.withColumn("fraction_exact", F.round(share, 6) if legacy else share)
+
+
 def crossing_samples(du: DataFrame, target: DataFrame, most: int = 80, context: int = 3) -> DataFrame:
     """The first ``most`` crossings of each document in target order, with the range of DU tokens around each."""
     a = align_tokens(target, du).where(~(F.col("starts_on") & F.col("ends_on")))

@@ -1,10 +1,15 @@
-"""Global row numbers without a single-task sort."""
+"""Global row numbers and running sums without a single-task sort."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.schema import extended
 from spanloom.scratch import written
 
 
@@ -24,3 +29,24 @@ def numbered(df: DataFrame, order: list[str], column: str) -> DataFrame:
         total += n
     side = F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _start bigint"))  # one row per partition
     return kept.join(side, "_part").withColumn(column, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+
+
+def accumulated(df: DataFrame, order: list[str], size: str, column: str, total: str) -> DataFrame:
+    """``numbered`` (``order`` has no ties) with ``total`` beside it, the sum of ``size`` over the rows up to each one."""
+    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = held = 0
+        for b in batches:
+            sums = held + np.cumsum(b.column(size).to_numpy(zero_copy_only=False), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(n, n + b.num_rows)), pa.array(sums)], [*b.schema.names, "_place", "_sum"])
+            n, held = n + b.num_rows, int(sums[-1]) if b.num_rows else held
+
+    kept = written(placed.mapInArrow(run, extended(placed.schema, "_place bigint, _sum bigint")), "sums")
+    rows, first, base = [], 0, 0
+    for part, n, end in sorted(tuple(r) for r in kept.groupBy("_part").agg(F.max("_place") + 1, F.max("_sum")).collect()):
+        rows.append((part, first, base))
+        first, base = first + n, base + end
+    side = F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _first bigint, _base bigint"))  # one row per partition
+    out = kept.join(side, "_part").withColumns({column: F.col("_first") + F.col("_place"), total: F.col("_base") + F.col("_sum")})
+    return out.drop("_part", "_place", "_sum", "_first", "_base")

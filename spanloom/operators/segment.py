@@ -6,6 +6,7 @@ size is checked. ``segment_join`` is the declarative form for vocabularies of an
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.vocabulary import shipped, usable
+from spanloom.operators.columns import Numbers
+from spanloom.operators.vocabulary import given, usable
 from spanloom.schema import extended
 
 
 _RUNS = re.compile(rb"[ \t\n\r]+|[^ \t\n\r]+")
 KNOWN_RUNS, KNOWN_BYTES = 500_000, 64
+DENSE_IDS, GATHERED = 1 << 25, 1 << 20
 
 
 class Pieces:
@@ -37,6 +40,7 @@ class Pieces:
         self.sizes = [sorted(s, reverse=True) for s in sizes]
         self.cuttable = all(len(_RUNS.findall(b)) == 1 for b in self.ids)
         self.known: dict[bytes, bytes] = {}
+        self.least: dict[bytes, list[int] | None] = {}
 
     def greedy(self, s: bytes) -> tuple[list[int] | None, int | None]:
         """(ids, None), or (None, the first offset that no piece matches)."""
@@ -84,7 +88,26 @@ class Pieces:
         return b"".join(out), None
 
     def minimum(self, s: bytes) -> list[int] | None:
-        """Fewest pieces; among these, the last piece is the longest, and so on backwards."""
+        """Fewest pieces; among these, the last piece is the longest, and so on backwards.
+
+        Where no piece crosses from a run of white space into other bytes or back, each distinct run is searched once.
+        """
+        if not self.cuttable:
+            return self._minimum(s)
+        out: list[int] = []
+        for r in _RUNS.findall(s):
+            if (got := self.least.get(r, 0)) == 0:
+                if len(self.least) > KNOWN_RUNS:
+                    self.least.clear()
+                got = self._minimum(r)
+                if len(r) <= KNOWN_BYTES:
+                    self.least[r] = got
+            if got is None:
+                return None
+            out += got
+        return out
+
+    def _minimum(self, s: bytes) -> list[int] | None:
         n = len(s)
         cost, back = [0] + [n + 1] * n, [(-1, -1)] * (n + 1)
         for i in range(n):
@@ -106,22 +129,22 @@ class Pieces:
 _BUILT: dict = {}
 
 
-def pieces(given) -> Pieces:
+def pieces(shared) -> Pieces:
     """One dictionary per Python worker and broadcast."""
-    if _BUILT.get("of") is not given.value:
-        _BUILT["of"], _BUILT["pieces"] = given.value, Pieces(given.value)
+    if _BUILT.get("of") is not shared.value:
+        _BUILT["of"], _BUILT["pieces"] = shared.value, Pieces(shared.value)
     return _BUILT["pieces"]
 
 
-def segment(rows: DataFrame, vocab: DataFrame, method: str = "greedy", column: str = "bytes", min_id: int = 0) -> DataFrame:
+def segment(rows: DataFrame, vocab: DataFrame | list, method: str = "greedy", column: str = "bytes", min_id: int = 0) -> DataFrame:
     """``rows`` with ``ids`` (null where some byte has no piece) and ``failed_at`` (its offset, greedy only).
 
     ``method``: ``greedy`` or ``minimum``. Map-only; null bytes give nulls.
     """
-    given = rows.sparkSession.sparkContext.broadcast(shipped(vocab, min_id))
+    shared = rows.sparkSession.sparkContext.broadcast(given(vocab, min_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(given)
+        p = pieces(shared)
         for b in batches:
             got, failed = [], []
             for v in b.column(column):
@@ -164,36 +187,93 @@ def segment_join(lexemes: DataFrame, vocab: DataFrame) -> DataFrame:
     return out.select("gid", "bytes", done.alias("ids"))
 
 
-def decode(rows: DataFrame, vocab: DataFrame, column: str = "ids", out: str = "decoded") -> DataFrame:
+class Decoder:
+    """Bytes of arrays of ids, gathered from one buffer of all pieces."""
+
+    def __init__(self, vocab: list[tuple[int, bytes]]):
+        self.table = dict(vocab)
+        self.dense = bool(vocab) and max(self.table) < DENSE_IDS
+        if self.dense:
+            n = max(self.table) + 1
+            self.size, self.start = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+            ids = np.fromiter(self.table, np.int64, len(self.table))
+            self.size[ids] = np.fromiter(map(len, self.table.values()), np.int64, len(ids))
+            self.start[ids] = np.concatenate([[0], np.cumsum(self.size[ids])[:-1]])
+            self.buffer = np.frombuffer(b"".join(self.table.values()), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes | None:
+        """None where an id is unknown."""
+        if not len(ids):
+            return b""
+        if not self.dense:
+            parts = [self.table.get(i) for i in ids.tolist()]
+            return None if None in parts else b"".join(parts)
+        if ids.min() < 0 or ids.max() >= len(self.size):
+            return None
+        out = []
+        for i in range(0, len(ids), GATHERED):
+            own = ids[i : i + GATHERED]
+            size = self.size[own]
+            if size.min() < 0:
+                return None
+            ends = np.cumsum(size)
+            out.append(self.buffer[np.repeat(self.start[own] - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+
+def decode(rows: DataFrame, vocab: DataFrame | list, column: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the bytes that an array of ids stands for (null ids, or an unknown one, give null)."""
-    given = rows.sparkSession.sparkContext.broadcast(shipped(vocab))
+    shared = rows.sparkSession.sparkContext.broadcast(given(vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dict(given.value)
+        d = Decoder(shared.value)
         for b in batches:
-            got = []
-            for ids in b.column(column).to_pylist():
-                parts = None if ids is None else [table.get(i) for i in ids]
-                got.append(None if parts is None or None in parts else b"".join(parts))
+            c = b.column(column)
+            ids, there = Numbers(c), c.is_valid().to_numpy(zero_copy_only=False)
+            got = [d.decode(ids.row(i)) if there[i] else None for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], [*b.schema.names, out])
 
     return rows.mapInArrow(run, extended(rows.schema, f"{out} binary"))
 
 
-def lanes(rows: DataFrame, vocab: DataFrame, pattern_lexemes, column: str = "bytes") -> DataFrame:
+def round_trip(rows: DataFrame, vocab: DataFrame | list, column: str = "bytes") -> DataFrame:
+    """The other columns of ``rows`` with n_ids and ids_sha256 (32-bit words), n_bytes and decoded_sha256 of the greedy ids' bytes, and exact: one pass.
+
+    A string without a segmentation has nulls and is not exact.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(given(vocab))
+    kept = [c for c in rows.columns if c != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, d = pieces(shared), Decoder(shared.value)
+        for b in batches:
+            out = []
+            for v in b.column(column):
+                raw = v.as_py() or b""
+                packed, _ = p.packed(raw)
+                ids = None if packed is None else np.frombuffer(packed, np.int64)
+                got = None if ids is None else d.decode(ids)
+                out.append((None, None, None, None, False) if got is None else (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), len(got), hashlib.sha256(got).hexdigest(), got == raw))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], [*kept, "n_ids", "ids_sha256", "n_bytes", "decoded_sha256", "exact"])
+
+    return rows.select(*kept, column).mapInArrow(run, extended(rows.select(*kept).schema, "n_ids bigint, ids_sha256 string, n_bytes bigint, decoded_sha256 string, exact boolean"))
+
+
+def lanes(rows: DataFrame, vocab: DataFrame | list, pattern_lexemes, column: str = "bytes") -> DataFrame:
     """``rows`` with the id counts of three lanes: per-lexeme greedy, whole-stream greedy, exact minimum, and the regrets.
 
     ``pattern_lexemes``: bytes to its lexemes, a picklable function.
     """
-    given = rows.sparkSession.sparkContext.broadcast(shipped(vocab))
+    shared = rows.sparkSession.sparkContext.broadcast(given(vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(given)
+        p = pieces(shared)
         for b in batches:
             out = np.zeros((b.num_rows, 3), np.int64)
             for i, v in enumerate(b.column(column)):
                 s = v.as_py() or b""
-                out[i] = sum(len(p.greedy(x)[0] or ()) for x in pattern_lexemes(s)), len(p.greedy(s)[0] or ()), len(p.minimum(s) or ())
+                out[i] = sum([len(p.packed(x)[0] or b"") // 8 for x in pattern_lexemes(s)]), len(p.packed(s)[0] or b"") // 8, len(p.minimum(s) or ())
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[:, j]) for j in range(3)]], [*b.schema.names, "per_lexeme", "stream", "minimum"])
 
     return rows.mapInArrow(run, extended(rows.schema, "per_lexeme bigint, stream bigint, minimum bigint"))

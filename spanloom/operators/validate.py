@@ -53,13 +53,13 @@ def _first_error(raw: bytes, start: np.ndarray, end: np.ndarray, parts: list[byt
     return ("trailing", None, len(raw) - last) if last < len(raw) else (None, None, None)
 
 
-def token_errors(tokens: DataFrame, docs: DataFrame) -> DataFrame:
+def token_errors(tokens: DataFrame, docs: DataFrame, streams: tuple[str, ...] | None = None) -> DataFrame:
     """One row per document and stream with its first error, or nulls. A document without tokens is valid only if empty.
 
     A document's tokens are gathered into one row per stream and meet its bytes there, so the bytes are not repeated for every
-    token.
+    token. ``streams``: the names; without them ``tokens`` is read once more to find them.
     """
-    names = [r[0] for r in tokens.select("stream").distinct().orderBy("stream").collect()]  # as many as streams are named
+    names = streams or [r[0] for r in tokens.select("stream").distinct().orderBy("stream").collect()]  # as many as streams are named
     every = docs.select("doc_id", "raw", F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")).alias("stream"))
     own = tokens.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.struct("pos", "byte_start", "byte_end", "bytes"))).alias("t"))
 

@@ -35,6 +35,11 @@ def shipped(vocab: DataFrame, min_id: int = 0) -> list[tuple[int, bytes]]:
     return [(r.id, bytes(r.bytes)) for r in own.collect()]
 
 
+def given(vocab: DataFrame | list[tuple[int, bytes]], min_id: int = 0) -> list[tuple[int, bytes]]:
+    """``shipped``, unless it was already: one collection then serves several operators."""
+    return [(i, b) for i, b in vocab if i >= min_id] if isinstance(vocab, list) else shipped(vocab, min_id)
+
+
 def shape(vocab: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Entries, empty ones, total and mean bytes, and the lengths at rank int((n - 1) * p) for p of 0.5, 0.9, 0.99 and 1.
 
@@ -53,6 +58,13 @@ def shape(vocab: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def printable(lexemes: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` lexemes by gid that are printable ASCII, white space included, and not blank; with their text."""
+    text = F.decode("bytes", "UTF-8")
+    ok = (F.octet_length("bytes") > 0) & text.rlike(r"^[\t\n\r\x20-\x7e]*$") & (F.trim(text, F.lit(" \t\n\r")) != "")
+    return lexemes.where(ok).orderBy("gid").limit(n).select("gid", "bytes", text.alias("text"))
+
+
 def longest(lexemes: DataFrame, n: int = 15) -> DataFrame:
     """The ``n`` longest lexemes, lowest gid first among equals."""
     return lexemes.withColumn("size", F.octet_length("bytes").cast("bigint")).orderBy(F.desc("size"), "gid").limit(n)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from spanloom import scratch
 from spanloom.functions import bytestrings as B
+from spanloom.operators import remap, vocabulary
+from spanloom.operators.ranks import accumulated
 from spanloom.operators.views import LEXEMES, WORDS, tokens
-from spanloom.plans.remapping import vocab
-from spanloom.plans.spans import items
-from spanloom.plans.sql import VOCAB, view, with_
+from spanloom.plans.remapping import DICT, lexeme_rows, shipped
+from spanloom.plans.spans import docs, items
+from spanloom.plans.sql import VOCAB, greedy, view, with_
 from spanloom.sources import files, sinks
 
 QUERIES, ORACLES = {}, {}
@@ -42,35 +44,20 @@ def fixture(spark, sf_dir) -> list[tuple[str, str]]:
 
 @query(with_(VOCAB) + "SELECT id, h AS bytes_hex FROM vocab")
 def model_bin_scan(spark, sf_dir):
-    entries = [bytes(r.bytes) for r in vocab(spark, sf_dir).orderBy("id").collect()]
+    entries = [b for _, b in sorted(shipped(spark, sf_dir))]
     path = scratch.folder(spark, "vocabulary") + "/model.bin"
     sinks.write_bytes(spark, path, [sinks.model_bin_bytes(entries)])
     return files.model_bin(spark, path).select("id", B.to_hex(F.col("bytes")).alias("bytes_hex"))
 
 
-@query(with_(view("w", "words", "benchmark", "item_id"), "f AS (SELECT min(item_id) AS i FROM benchmark)") + "SELECT pos, id, byte_start, byte_end, lower(hex(encode(tok))) AS bytes_hex FROM w JOIN f ON w.doc_id = f.i")
-def jsonl_roundtrip(spark, sf_dir):
-    d = items(spark, sf_dir)
-    first = d.agg(F.min("doc_id").alias("doc_id"))
-    path = scratch.folder(spark, "tokens") + "/source.jsonl"
-    sinks.write_jsonl(tokens(d.join(F.broadcast(first), "doc_id"), "doc_id", WORDS, "source"), path)
-    return files.token_jsonl(spark, path).select("pos", "id", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex"))
-
-
-@query(with_("parts AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS k FROM benchmark)", view("w", "words", "parts", "k"),
-             "o AS (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS pos, id, CAST(sum(n) OVER (ORDER BY doc_id, pos) AS BIGINT) AS byte_end, n, tok FROM w)")
+@query(with_(view("w", "words"), "o AS (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS pos, id, CAST(sum(n) OVER (ORDER BY doc_id, pos) AS BIGINT) AS byte_end, n, tok FROM w)")
        + "SELECT pos, id, byte_end - n AS byte_start, byte_end, lower(hex(encode(tok))) AS bytes_hex FROM o")
-def jsonl_roundtrip_all(spark, sf_dir):
-    """``jsonl_roundtrip`` of all benchmark items, one after the other in the order of their ids, as one stream."""
-    rows, pos, byte = [], 0, 0
-    for k, (_, text) in enumerate(fixture(spark, sf_dir)):
-        rows.append((k, text, pos, byte))
-        pos, byte = pos + len(re.findall(WORDS, text)), byte + len(text.encode())
-    d = spark.createDataFrame(rows, "doc_id bigint, text string, first bigint, base bigint")
-    t = tokens(d, "doc_id", WORDS, "source").join(d.drop("text"), "doc_id")
-    t = t.withColumns({"pos": F.col("pos") + F.col("first"), "byte_start": F.col("byte_start") + F.col("base"), "byte_end": F.col("byte_end") + F.col("base")})
+def jsonl_roundtrip(spark, sf_dir):
+    """All documents, one after the other in the order of their ids, as one stream in a file of token lines."""
+    t = tokens(docs(spark, sf_dir), "doc_id", WORDS, "source").select("doc_id", F.col("pos").alias("own"), "stream", "id", "bytes", F.octet_length("bytes").cast("bigint").alias("n"))
+    t = accumulated(t, ["doc_id", "own"], "n", "pos", "byte_end").withColumn("byte_start", F.col("byte_end") - F.col("n"))
     path = scratch.folder(spark, "tokens") + "/source.jsonl"
-    sinks.write_jsonl(t, path)
+    sinks.write_jsonl(t.select("stream", "pos", "id", "byte_start", "byte_end", "bytes"), path)
     return files.token_jsonl(spark, path).select("pos", "id", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex"))
 
 
@@ -111,7 +98,7 @@ def du_run_scan(spark, sf_dir):
 def du_run_scan_limited(spark, sf_dir):
     folder = scratch.folder(spark, "du-run")
     write_du_run(spark, fixture(spark, sf_dir), folder, width=4)
-    return files.du_run(spark, folder, gmap="gmap32", max_bytes=1000).select("pos", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex"))
+    return files.du_run(spark, folder, max_bytes=1000).select("pos", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex"))
 
 
 @query(with_("al AS (SELECT string_agg(text, '' ORDER BY item_id) AS t FROM benchmark)") + "SELECT sha256(t) AS sha256, CAST(strlen(t) AS BIGINT) AS n_bytes FROM al")
@@ -120,7 +107,7 @@ def target_run_scan(spark, sf_dir):
     from spanloom.functions.tokenizers import GreedyTokenizer
     from spanloom.operators.spans import reconstruct
 
-    v = [(r.id, bytes(r.bytes)) for r in vocab(spark, sf_dir).orderBy("id").collect()]
+    v = sorted(shipped(spark, sf_dir))
     folder = scratch.folder(spark, "target-run")
     sinks.write_bytes(spark, f"{folder}/model.bin", [sinks.model_bin_bytes([b for _, b in v])])
     sinks.write_bytes(spark, f"{folder}/tokens.u32", [sinks.pack_u32(GreedyTokenizer(v).encode("".join(t for _, t in fixture(spark, sf_dir)).encode()))])
@@ -132,3 +119,64 @@ def target_run_scan(spark, sf_dir):
 def receipt(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"))
     return d.select(F.to_json(F.struct("documents", "bytes")).alias("receipt"))
+
+
+@query(with_(VOCAB) + "SELECT id, h AS bytes_hex FROM vocab")
+def model_bin_legacy_scan(spark, sf_dir):
+    """The form with a magic and bounded entries."""
+    path = scratch.folder(spark, "vocabulary") + "/model.bin"
+    sinks.write_bytes(spark, path, [sinks.model_bin_bytes([b for _, b in sorted(shipped(spark, sf_dir))], b"MB01")])
+    return files.model_bin(spark, path, legacy=True).select("id", B.to_hex(F.col("bytes")).alias("bytes_hex"))
+
+
+@query(with_(VOCAB) + "SELECT CAST(i AS BIGINT) AS id, '' AS bytes_hex FROM range(100) r(i) UNION ALL SELECT id + 100, h FROM vocab")
+def ranked_vocabulary_scan(spark, sf_dir):
+    """A rank file behind a hundred placeholders; every id must be there once."""
+    entries = sorted(shipped(spark, sf_dir))
+    path = scratch.folder(spark, "ranks") + "/vocabulary.ranks"
+    sinks.write_bytes(spark, path, [b"".join(base64.b64encode(b) + f" {i}\n".encode() for i, b in entries)])
+    return files.ranked_vocabulary(spark, path, id_offset=100, entries=100 + len(entries)).select("id", B.to_hex(F.col("bytes")).alias("bytes_hex"))
+
+
+@query("SELECT row_number() OVER (ORDER BY CAST(item_id AS VARCHAR)) - 1 AS place, CAST(item_id AS VARCHAR) AS stem, sha256(text) AS sha256 FROM benchmark")
+def folder_scan(spark, sf_dir):
+    """A folder of raw files in byte-wise order of their paths; files of another extension are left out."""
+    from pyspark.sql import Window
+
+    folder = scratch.folder(spark, "raw")
+    for name, text in fixture(spark, sf_dir):
+        sinks.write_bytes(spark, f"{folder}/{name}.raw", [text.encode()])
+    sinks.write_bytes(spark, f"{folder}/0.other", [b"left out"])
+    place = (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint")  # a listing of files
+    return files.raw_files(spark, folder, ".raw").select(place.alias("place"), "stem", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT 'report.json' AS file, '{\n  \"documents\": ' || count(*) || ',\n  \"bytes\": ' || CAST(sum(strlen(text)) AS BIGINT) || E'\n}\n' AS content FROM documents UNION ALL SELECT 'run-7.json', '{\n  \"documents\": ' || count(*) || ',\n  \"bytes\": ' || CAST(sum(strlen(text)) AS BIGINT) || E'\n}\n' FROM documents".replace("'{\n", "E'{\\n").replace(",\n", ",\\n").replace("',\\n", "E',\\n").replace("E'\n}\n'", "E'\\n}\\n'"))
+def report_files(spark, sf_dir):
+    """A report and its receipt, written and read again."""
+    row = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes")).first().asDict()
+    folder = scratch.folder(spark, "reports")
+    sinks.write_report(spark, folder, "run", row, 7)
+    return files.raw_files(spark, folder, ".json").select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.decode("content", "UTF-8").alias("content"))
+
+
+@query("SELECT * FROM (VALUES ('same', 'OK', 0), ('changed', 'MISMATCH', 1), ('gone', 'MISSING', 1), ('library', 'DEPENDENCY', 2)) v(fixture, status, code)")
+def fixture_verification(spark, sf_dir):
+    """A fixture of the benchmark's texts against its bytes, other bytes, no file, and a generator that lacks its library."""
+    raw = "".join(t for _, t in fixture(spark, sf_dir)).encode()
+    folder = scratch.folder(spark, "fixtures")
+    sinks.write_bytes(spark, f"{folder}/a", [raw])
+
+    def lacking() -> bytes:
+        raise ImportError("an optional library")
+
+    cases = [("same", "a", raw), ("changed", "a", raw + b"."), ("gone", "b", raw), ("library", "a", lacking)]
+    return spark.createDataFrame([(name, *sinks.verify_fixture(spark, f"{folder}/{file}", want)) for name, file, want in cases], "fixture string, status string, code int")
+
+
+@query(with_(VOCAB, view("d", "lexemes"), DICT, "src AS (SELECT gid AS key, h FROM dict)", greedy("g", "src"), recursive=True) + "SELECT key AS gid, rtrim(ids, ',') AS target_ids FROM g_done")
+def dense_ids_roundtrip(spark, sf_dir):
+    """The lexeme map as JSON lines, read again."""
+    path = scratch.folder(spark, "dense") + "/ids.jsonl"
+    sinks.write_dense_ids(remap.build_map(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), shipped(spark, sf_dir)), path)
+    return spark.read.schema("gid bigint, target_ids array<bigint>").json(path).select("gid", F.array_join("target_ids", ",").alias("target_ids"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from spanloom import scratch
 from spanloom.functions.tokenizers import GreedyTokenizer, RegexTokenizer
-from spanloom.operators import repair, vocabulary
+from spanloom.operators import repair
 from spanloom.operators.views import LEXEMES, WORDS
-from spanloom.plans.remapping import vocab
+from spanloom.plans.remapping import shipped
 from spanloom.plans.spans import docs, items, table
 from spanloom.plans.sql import view, with_
 from spanloom.streaming import repair_stream
@@ -37,39 +37,72 @@ _IDS = "sha256(array_to_string(list_transform(tf, lambda v: CAST('0x' || substr(
 _COLS = "CAST(k AS BIGINT) AS \"drop\", CAST(strlen(p) - kb AS BIGINT) AS tail, CAST(strlen(p) - kb + strlen(d) AS BIGINT) AS \"window\", CAST(len(rest) AS BIGINT) AS fresh"
 
 
-def appended(spark, sf_dir) -> DataFrame:
-    return repair.appends(table(spark, sf_dir, "conversations"))
+def conversations(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
 
 
 def _found(r: DataFrame) -> DataFrame:
-    return r.where("exact").select("conv_id", "turn", "drop", "tail", "window", "fresh", F.size("ids").cast("bigint").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    return r.where("exact").select("conv_id", "turn", "drop", "tail", "window", "fresh", "n_ids", "ids_sha256")
 
 
 @query(f"WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok GROUP BY conv_id, turn) SELECT z.conv_id, z.turn, {_COLS.replace('CAST(k', 'CAST(z.k')}, CAST(len(tf) AS BIGINT) AS n_ids, {_IDS} AS ids_sha256 FROM z JOIN b USING (conv_id, turn, k)")
 def repair_search(spark, sf_dir):
-    return _found(repair.repair(appended(spark, sf_dir), RegexTokenizer(WORDS)))
+    return _found(repair.repair_turns(conversations(spark, sf_dir), RegexTokenizer(WORDS)))
 
 
 @query(f"WITH {_C} SELECT conv_id, turn, {_COLS}, CAST(len(tf) AS BIGINT) AS n_ids, {_IDS} AS ids_sha256 FROM z WHERE ok AND k = 1")
 def repair_fixed_k(spark, sf_dir):
-    return _found(repair.repair(appended(spark, sf_dir), RegexTokenizer(WORDS), fixed_drop=1))
+    return _found(repair.repair_turns(conversations(spark, sf_dir), RegexTokenizer(WORDS), fixed_drop=1))
 
 
 @query(f"WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok GROUP BY conv_id, turn) SELECT z.conv_id, z.turn, {_COLS.replace('CAST(k', 'CAST(z.k')}, CAST(len(tf) AS BIGINT) AS n_ids, {_IDS} AS ids_sha256 FROM z JOIN b USING (conv_id, turn, k)")
 def repair_search_v1(spark, sf_dir):
-    return _found(repair.repair(appended(spark, sf_dir), RegexTokenizer(WORDS), version=1))
+    return _found(repair.repair_turns(conversations(spark, sf_dir), RegexTokenizer(WORDS), version=1))
 
 
-@query(f"WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok GROUP BY conv_id, turn), f AS (SELECT z.k, strlen(p) - kb AS tail FROM z JOIN b USING (conv_id, turn, k)) SELECT (SELECT count(*) FROM c) AS cases, count(*) AS exact_cases, CAST(max(k) AS BIGINT) AS max_drop, CAST(max(tail) AS BIGINT) AS max_tail, count(*) FILTER (k = 0) AS drop_0, count(*) FILTER (k = 1) AS drop_1, count(*) FILTER (k = 2) AS drop_2 FROM f")
+_DROPS = ", ".join(f"count(*) FILTER (k = {i}) AS drop_{i}" for i in range(9))
+
+
+@query(f"WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok GROUP BY conv_id, turn), f AS (SELECT c.conv_id % 3 AS model, z.k, strlen(c.p) - kb AS tail, strlen(c.p) - kb + strlen(c.d) AS win FROM c LEFT JOIN b USING (conv_id, turn) LEFT JOIN z ON z.conv_id = c.conv_id AND z.turn = c.turn AND z.k = b.k)"
+       + f" SELECT model, count(*) AS cases, count(k) AS exact_cases, count(*) = count(k) AS all_exact, CAST(max(k) AS BIGINT) AS max_drop, CAST(max(tail) AS BIGINT) AS max_tail, CAST(quantile_cont(tail, 0.5) AS DOUBLE) AS median_tail, CAST(quantile_cont(win, 0.5) AS DOUBLE) AS median_window, {_DROPS} FROM f GROUP BY model".replace("count(*) FILTER (k", "count(*) FILTER (k"))
 def repair_histogram(spark, sf_dir):
-    return repair.histogram(repair.repair(appended(spark, sf_dir), RegexTokenizer(WORDS)))
+    """The matrix of cases by model; conversations stand for the models of three tokenizers."""
+    r = repair.repair_turns(conversations(spark, sf_dir), RegexTokenizer(WORDS)).withColumn("model", F.col("conv_id") % 3)
+    return repair.histogram(r, ["model"])
+
+
+@query(f"WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok GROUP BY conv_id, turn) SELECT z.conv_id, z.turn, CAST(z.k AS BIGINT) AS \"drop\", CAST(strlen(p) - kb + strlen(d) AS BIGINT) AS \"window\", ok AS exact, CAST(NULL AS VARCHAR) AS reason FROM z JOIN b USING (conv_id, turn) WHERE z.k <= b.k AND kb > 0")
+def repair_trials(spark, sf_dir):
+    """Every trial of each search that ends in an exact candidate."""
+    r = repair.repair(repair.appends(conversations(spark, sf_dir)), RegexTokenizer(WORDS)).where("exact")
+    return r.select("conv_id", "turn", F.explode("trials").alias("t")).select("conv_id", "turn", "t.*")
+
+
+#: Appends by turn modulo 7: 3 has a false digest in its snapshot, 4 a delta with one bound too many, 5 a raw delta that its DU state does not rebuild.
+@query(f"""WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok AND kb > 0 GROUP BY conv_id, turn), g AS (SELECT c.conv_id, c.turn, c.p, c.d, z.k, z.kb, len(z.rest) AS fresh, turn % 7 AS m FROM c LEFT JOIN b USING (conv_id, turn) LEFT JOIN z ON z.conv_id = c.conv_id AND z.turn = c.turn AND z.k = b.k WHERE c.p <> '')
+SELECT conv_id, turn, CASE WHEN m NOT IN (3, 4, 5) THEN CAST(k AS BIGINT) END AS "drop", CASE WHEN m NOT IN (3, 4, 5) THEN CAST(kb AS BIGINT) END AS repair_start, CASE WHEN m NOT IN (3, 4, 5) THEN CAST(strlen(p) - kb + strlen(d) AS BIGINT) END AS "window",
+  CASE WHEN m NOT IN (3, 4, 5) THEN CAST(fresh AS BIGINT) END AS fresh, CASE WHEN m = 3 THEN 'invalid snapshot: hash' WHEN m = 4 THEN 'invalid delta: bounds' WHEN m <> 5 AND k IS NULL THEN 'none' WHEN m = 5 THEN 'not compared' END AS reason,
+  CASE WHEN m IN (3, 4) THEN 'reason' WHEN m = 5 THEN 'not compared' WHEN k IS NULL THEN 'reason' END AS gate FROM g""")
+def repair_du_aware(spark, sf_dir):
+    """Stored, validated snapshots with a DU state, deltas from theirs, and the gates of a receipt."""
+    a = repair.appends(conversations(spark, sf_dir)).where("octet_length(prefix) > 0").withColumn("doc_id", F.xxhash64("conv_id", "turn"))
+    native, du, m = RegexTokenizer(WORDS), RegexTokenizer(LEXEMES), F.col("turn") % 7
+    s = repair.snapshot(a.select("doc_id", "prefix"), native, du).join(a.drop("prefix"), "doc_id")
+    s, state = repair.du_state("delta", du, s, "delta_state"), F.col("delta_state")
+    more = F.struct(state["ids"].alias("ids"), state["parts"].alias("parts"), F.concat(state["bounds"], F.array(F.lit(1).cast("bigint"))).alias("bounds"))
+    s = s.withColumns({"prefix_sha256": F.when(m == 3, "0").otherwise(F.col("prefix_sha256")), "delta_state": F.when(m == 4, more).otherwise(state), "delta": F.when(m == 5, F.concat("delta", F.unhex(F.lit("21")))).otherwise(F.col("delta"))})
+    r = repair.repair_snapshots(scratch.written(s, "append-snapshots"), native).withColumn("gate", repair.gates())
+    spoilt = m == 5  # what its search finds depends on the other delta; only that it never passes is compared
+    seen = lambda c: F.when(~spoilt, F.col(c)).alias(c)
+    said = lambda c: F.when(spoilt & F.col("gate").isNotNull(), "not compared").otherwise(F.col(c)).alias(c)
+    return r.select("conv_id", "turn", *[seen(c) for c in ("drop", "repair_start", "window", "fresh")], F.when(~spoilt & (F.col("reason") == repair.INEXACT), "none").otherwise(said("reason")).alias("reason"), said("gate"))
 
 
 @query("""SELECT conv_id, turn, p <> '' AS exact, CASE WHEN p = '' THEN 'empty prefix' END AS reason FROM (SELECT conv_id, turn, coalesce(string_agg(coalesce(text, ''), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS p FROM conversations)""")
 def repair_greedy(spark, sf_dir):
     """The look-ahead tokenizer: several tokens may change, all within its horizon, so the search always ends in an exact one."""
-    tok = GreedyTokenizer(vocabulary.shipped(vocab(spark, sf_dir)))
-    return repair.repair(appended(spark, sf_dir), tok, max_drop=tok.horizon + 1).select("conv_id", "turn", "exact", "reason")
+    tok = GreedyTokenizer(shipped(spark, sf_dir))
+    return repair.repair_turns(conversations(spark, sf_dir), tok, max_drop=tok.horizon + 1).select("conv_id", "turn", "exact", "reason")
 
 
 SNAPSHOT_FAULTS = (None, "length", "hash", "du rebuild", "count", "span id", "contiguity", "hex", "bytes")
@@ -98,9 +131,7 @@ def _snapshots(spark, sf_dir) -> DataFrame:
 
 @query("SELECT doc_id, [NULL, 'length', 'hash', 'du rebuild', 'count', 'span id', 'contiguity', 'hex', 'bytes'][doc_id % 9 + 1] AS error FROM documents WHERE text <> ''")
 def snapshot_valid(spark, sf_dir):
-    # a written table, as snapshots are kept: else the planner would put the spans' expression into every check of every span
-    stored = scratch.written(_snapshots(spark, sf_dir), "snapshots")
-    return stored.select("doc_id", repair.snapshot_error().alias("error"))
+    return repair.snapshot_errors(scratch.written(_snapshots(spark, sf_dir), "snapshots"))  # written, as snapshots are kept
 
 
 @query(f"""SELECT item_id, CASE WHEN a = b THEN NULL ELSE i END AS index, CASE WHEN a <> b THEN a[i + 1] END AS "left", CASE WHEN a <> b THEN b[i + 1] END AS "right" FROM (SELECT item_id, a, b, CAST(list_min(list_filter(range(greatest(len(a), len(b))), lambda i: a[i + 1] IS DISTINCT FROM b[i + 1])) AS BIGINT) AS i FROM (
@@ -129,9 +160,9 @@ FROM (SELECT conv_id, turn, regexp_extract_all(string_agg(coalesce(text, ''), ''
 def repair_streaming(spark, sf_dir):
     """Turns arrive as files in the order of their numbers; the state's ids after each equal a full tokenization."""
     folder = scratch.folder(spark, "repair-stream")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    third = F.ntile(3).over(_by_turn())
-    staged = turns.join(F.broadcast(turns.select("turn").distinct().withColumn("part", third)), "turn")  # one row per turn number
+    turns = conversations(spark, sf_dir)
+    cuts = turns.select(F.percentile_approx("turn", [1 / 3, 2 / 3], 10_000)).first()[0] or [0, 0]  # three batches by turn number
+    staged = turns.withColumn("part", 1 + (F.col("turn") > cuts[0]).cast("int") + (F.col("turn") > cuts[1]).cast("int"))
     for part in range(1, 4):
         staged.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
     source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1 << 20).parquet(f"{folder}/in")
@@ -139,12 +170,6 @@ def repair_streaming(spark, sf_dir):
     return out.select("conv_id", "turn", "n_tokens", "n_bytes", "ids_sha256")
 
 
-def _by_turn():
-    from pyspark.sql import Window
-
-    return Window.orderBy("turn")
-
-
 @query(f"""WITH t AS (SELECT item_id, regexp_extract_all(text, '{WORDS}') AS d, regexp_extract_all(text, '{LEXEMES}') AS l FROM benchmark)
 SELECT item_id, CAST(len(d) AS BIGINT) AS n_direct, CAST(len(l) AS BIGINT) AS n_lexemes, d = l AS equal, CAST(list_min(list_filter(range(greatest(len(d), len(l))), lambda i: d[i + 1] IS DISTINCT FROM l[i + 1])) AS BIGINT) AS diverges_at FROM t""")
 def lexeme_equivalence(spark, sf_dir):
@@ -153,16 +178,8 @@ def lexeme_equivalence(spark, sf_dir):
     return fixtures.lexeme_equivalence(items(spark, sf_dir), RegexTokenizer(WORDS), LEXEMES).drop("text").withColumnRenamed("doc_id", "item_id")
 
 
-@query(with_(view("w", "words", "(SELECT doc_id, left(text, greatest(0, n)) AS text FROM (SELECT doc_id, text, list_max(list_filter(range(0, 302), lambda i: strlen(left(text, i)) <= 300)) AS n FROM documents))")) + "SELECT doc_id, pos, id, byte_start, byte_end FROM w")
-def tokenizer_records(spark, sf_dir):
-    """Rows of a callback tokenizer over the first 300 bytes, cut back to whole characters."""
-    from spanloom.operators import fixtures
-
-    return fixtures.records(docs(spark, sf_dir), RegexTokenizer(WORDS), "native", 300).select("doc_id", "pos", "id", "byte_start", "byte_end")
-
-
 @query(with_(view("w", "words")) + "SELECT doc_id, pos, id, byte_start, byte_end FROM w")
-def tokenizer_records_whole(spark, sf_dir):
+def tokenizer_records(spark, sf_dir):
     """Rows of a callback tokenizer over whole texts."""
     from spanloom.operators import fixtures
 

@@ -28,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD_BYTES = 16 << 20
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan, dealt out where its files give fewer tasks than there are cores; large inputs are left as they are."""
+    """A plain scan, dealt out where its planned size gives each core less than ``SPREAD_BYTES``; larger ones are left as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size < cores * SPREAD_BYTES else scan
 
 
 def docs(spark, sf_dir) -> DataFrame:
@@ -84,7 +88,7 @@ def boundary_stats_by_lang(spark, sf_dir):
 def validate_ok(spark, sf_dir):
     d = docs(spark, sf_dir)
     both = tokens(d, "doc_id", WORDS, "source").unionByName(tokens(d, "doc_id", LEXEMES, "du"))
-    return validate.token_errors(both, raw(d))
+    return validate.token_errors(both, raw(d), ("du", "source"))
 
 
 #: Injected faults by document number modulo 8 at the third token (0: none; 7: the last token is gone).
@@ -111,7 +115,7 @@ SELECT doc_id, 'source' AS stream,
 FROM f""")
 def validate_corrupted(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return validate.token_errors(faulty(tokens(d, "doc_id", WORDS, "source")), raw(d))
+    return validate.token_errors(faulty(tokens(d, "doc_id", WORDS, "source")), raw(d), ("source",))
 
 
 @query("SELECT doc_id, 'source' AS stream, CASE doc_id % 4 WHEN 1 THEN 'raw_len' WHEN 2 THEN 'raw_sha256' END AS header_error, doc_id % 4 NOT IN (1, 2) AS same_bytes FROM documents")
@@ -144,12 +148,13 @@ SELECT doc_id, CAST(strlen(text) AS BIGINT) AS raw_len, doc_id % 5 <> 1 AS sourc
 FROM documents JOIN (SELECT doc_id, {stats('source_to_du_')} FROM sd GROUP BY doc_id) a USING (doc_id) JOIN (SELECT doc_id, {stats('du_to_target_')} FROM dt GROUP BY doc_id) b USING (doc_id)
 JOIN (SELECT doc_id, {stats('target_to_du_')} FROM td GROUP BY doc_id) c USING (doc_id)""")
 def bridge_report(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    t = tokens(d, "doc_id", WORDS, "source").unionByName(tokens(d, "doc_id", LEXEMES, "du")).unionByName(tokens(d, "doc_id", cap(3), "target"))
+    parts = lambda p: F.transform(pieces(F.col("text"), p), lambda x: F.encode(x, "UTF-8"))
     # the first byte of some streams is spoilt, spans stay
-    spoilt = (F.col("pos") == 0) & (((F.col("doc_id") % 5 == 1) & (F.col("stream") == "source")) | ((F.col("doc_id") % 5 == 2) & (F.col("stream") == "du")))
-    t = t.withColumn("bytes", F.when(spoilt, F.concat(F.unhex(F.lit("00")), F.substring("bytes", F.lit(2), (F.octet_length("bytes") - 1).cast("int")))).otherwise(F.col("bytes")))
-    return bridge.report(t, raw(d))
+    zero = lambda x: F.concat(F.unhex(F.lit("00")), F.substring(x, F.lit(2), (F.octet_length(x) - 1).cast("int")))
+    spoilt = lambda c, k: F.when(F.col("doc_id") % 5 == k, F.transform(c, lambda x, i: F.when(i == 0, zero(x)).otherwise(x))).otherwise(c)
+    d = docs(spark, sf_dir)
+    d = raw(d).select("doc_id", "raw", F.decode("raw", "UTF-8").alias("text"))
+    return bridge.report_columns(d.select("doc_id", "raw", spoilt(parts(WORDS), 1).alias("source"), spoilt(parts(LEXEMES), 2).alias("du"), parts(cap(3)).alias("target")))
 
 
 @query("""SELECT item_id, CASE WHEN x = y THEN NULL WHEN p IS NULL THEN least(length(x), length(y)) // 2 ELSE p END AS byte_offset,
@@ -164,31 +169,9 @@ def first_mismatch(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", m.alias("m")).select("item_id", "m.byte_offset", "m.expected_len", "m.actual_len")
 
 
-@query("""SELECT doc_id, c AS variant, CASE c WHEN 0 THEN h WHEN 1 THEN lower(h) END AS decoded FROM (SELECT doc_id, hex(encode(left(text, 12))) AS h, unnest([0, 1, 2, 3]) AS c FROM documents WHERE text <> '')
-""".replace("lower(h)", "h"))
-def hex_codec(spark, sf_dir):
-    h = F.hex(F.encode(F.left("text", F.lit(12)), "UTF-8"))
-    d = docs(spark, sf_dir).where("text <> ''").select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), s.alias("s")) for i, s in enumerate((h, F.lower(h), F.concat(h, F.lit("a")), F.concat(F.lit("zz"), h)))])).alias("v"))
-    return d.select("doc_id", "v.variant", F.hex(B.from_hex(F.col("v.s"))).alias("decoded"))
-
-
-@query("""SELECT doc_id, c AS variant, CASE WHEN c IN (0, 1) THEN hex(encode(t)) END AS decoded, CASE c WHEN 2 THEN 'pad bits' WHEN 3 THEN 'alphabet' WHEN 4 THEN 'empty' WHEN 5 THEN 'inner padding' WHEN 6 THEN 'padding' END AS error
-FROM (SELECT doc_id, left(text, 8) AS t, unnest([0, 1, 2, 3, 4, 5, 6]) AS c FROM documents WHERE strlen(left(text, 8)) % 3 = 2)""")
-def base64_strict(spark, sf_dir):
-    raw8 = F.encode(F.left("text", F.lit(8)), "UTF-8")
-    s = F.base64(raw8)  # one pad: the last digit has two spare bits
-    body = F.substring(s, F.lit(1), F.length(s) - 1)
-    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    last = F.right(body, F.lit(1))
-    spare = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.translate(last, digits[:-1], digits[1:]))
-    forms = (s, body, spare, F.concat(F.lit("*"), F.substring(body, 2, 99)), F.lit(""), F.concat(F.lit("=A"), F.substring(s, 3, 99)), F.concat(body, F.lit("====")))
-    d = docs(spark, sf_dir).where(F.octet_length(raw8) % 3 == 2).select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), x.alias("s")) for i, x in enumerate(forms)])).alias("v"))
-    return d.select("doc_id", "v.variant", F.hex(B.from_base64(F.col("v.s"))).alias("decoded"), B.base64_error(F.col("v.s")).alias("error"))
-
-
 @query("""SELECT doc_id, c AS variant, CASE WHEN c IN (0, 1) THEN hex(encode(t)) END AS decoded FROM (SELECT doc_id, coalesce(text, '') AS t, unnest([0, 1, 2, 3]) AS c FROM documents)""")
-def hex_codec_whole(spark, sf_dir):
-    """``hex_codec`` over the whole text of every row; a null text counts as empty."""
+def hex_codec(spark, sf_dir):
+    """Whole texts to hex and back: upper and lower case, odd and other digits; a null text counts as empty."""
     d = raw(docs(spark, sf_dir)).select("doc_id", F.hex("raw").alias("h"))
     forms = (F.col("h"), F.lower("h"), F.concat("h", F.lit("a")), F.concat(F.lit("zz"), F.col("h")))
     d = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), s.alias("s")) for i, s in enumerate(forms)])).alias("v"))
@@ -198,8 +181,8 @@ def hex_codec_whole(spark, sf_dir):
 @query("""SELECT doc_id, c AS variant, CASE WHEN c IN (0, 1) AND t <> '' THEN hex(encode(t)) END AS decoded,
   CASE WHEN c IN (0, 1) AND t = '' THEN 'empty' WHEN c = 2 AND strlen(t) % 3 = 0 THEN 'length' ELSE [NULL, NULL, 'pad bits', 'alphabet', 'empty', 'inner padding', 'padding'][c + 1] END AS error
 FROM (SELECT doc_id, coalesce(text, '') AS t, unnest([0, 1, 2, 3, 4, 5, 6]) AS c FROM documents)""")
-def base64_strict_whole(spark, sf_dir):
-    """``base64_strict`` over the whole text of every row, whatever its pads; a null text counts as empty."""
+def base64_strict(spark, sf_dir):
+    """Whole texts to base64 and back, whatever their pads, and six broken forms; a null text counts as empty."""
     d = raw(docs(spark, sf_dir)).select("doc_id", B.to_base64(F.col("raw")).alias("s"), (F.octet_length("raw") % 3 == 0).alias("full"))
     d = d.withColumn("body", F.rtrim("s", F.lit("=")))
     s, body = F.col("s"), F.col("body")
@@ -262,7 +245,7 @@ def shared_boundary(spark, sf_dir):
     return spans.shared_boundary(tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), 100, 300)
 
 
-def _ledger(legacy: bool, limit: int = 1000) -> str:
+def _ledger(legacy: bool, limit: int = MAX_BYTES) -> str:
     cross = "NOT (starts_on AND ends_on)" + (" OR covered <> 1" if legacy else "")
     share = "CAST(exact AS DOUBLE) / nullif(target_tokens, 0)"
     return with_(view("t", "cap5"), view("d", "words"), f"lim AS (SELECT doc_id, least(CAST(strlen(text) AS BIGINT), {limit}) AS byte_limit FROM documents)", "ti AS (SELECT t.* FROM t JOIN lim USING (doc_id) WHERE byte_end <= byte_limit)", aligned("a", "ti", "d"),
@@ -272,30 +255,26 @@ SELECT doc_id, byte_limit, coalesce(target_tokens, 0) AS target_tokens, coalesce
   coalesce(max_covered, 0) AS max_covered, coalesce(du_tokens, 0) AS du_tokens, {f'round({share}, 6)' if legacy else share} AS fraction_exact FROM lim LEFT JOIN s USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
+def _views(spark, sf_dir) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs(spark, sf_dir).select("doc_id", F.octet_length(text).cast("bigint").alias("raw_len"), lengths(text, WORDS).alias("du"), lengths(text, cap(5)).alias("target"))
+
+
 @query(_ledger(False))
 def span_ledger(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return ledger.ledger(raw(d), tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), 1000)
+    """Under the default limit, so over whole texts."""
+    return ledger.ledger_lengths(_views(spark, sf_dir), MAX_BYTES)
 
 
 @query(_ledger(True))
 def span_ledger_legacy(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return ledger.ledger(raw(d), tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), 1000, legacy=True)
+    return ledger.ledger_lengths(_views(spark, sf_dir), MAX_BYTES, legacy=True)
 
 
-@query(_ledger(False, MAX_BYTES))
-def span_ledger_whole(spark, sf_dir):
-    """``span_ledger`` under the default limit, so over whole texts."""
-    d = docs(spark, sf_dir)
-    return ledger.ledger(raw(d), tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), MAX_BYTES)
-
-
-@query(_ledger(True, MAX_BYTES))
-def span_ledger_legacy_whole(spark, sf_dir):
-    """``span_ledger_legacy`` under the default limit, so over whole texts."""
-    d = docs(spark, sf_dir)
-    return ledger.ledger(raw(d), tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), MAX_BYTES, legacy=True)
+@query(_ledger(False, 1000))
+def span_ledger_limited(spark, sf_dir):
+    """The limit as a feature: target tokens that end within the first 1,000 bytes."""
+    return ledger.ledger_lengths(_views(spark, sf_dir), 1000)
 
 
 @query(with_(view("t", "cap5"), view("d", "words"), aligned("a", "t", "d"), "x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY left_index) AS sample FROM a WHERE NOT (starts_on AND ends_on))", "n AS (SELECT doc_id, count(*) AS n_du FROM d GROUP BY doc_id)")
@@ -305,17 +284,11 @@ def crossing_samples(spark, sf_dir):
     return ledger.crossing_samples(tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"))
 
 
-@query(with_(view("w", "words", "benchmark", "item_id"), view("c", "cap3", "benchmark", "item_id"), "b AS (SELECT doc_id, list_prepend(CAST(0 AS BIGINT), list(byte_end ORDER BY pos)) AS bounds FROM w GROUP BY doc_id)") + """
-SELECT c.doc_id AS item_id, c.pos, len(list_filter(bounds, lambda x: x <= c.byte_start)) - 1 AS lo, len(list_filter(bounds, lambda x: x < c.byte_end)) AS hi, list_contains(bounds, c.byte_start) AS starts_on, list_contains(bounds, c.byte_end) AS ends_on
-FROM c JOIN b USING (doc_id)""")
+@query(with_(view("w", "words"), view("c", "cap3"), aligned("a", "c", "w")) + "SELECT doc_id, left_index AS pos, right_start AS lo, right_end AS hi, starts_on, ends_on FROM a")
 def target_du_span(spark, sf_dir):
-    d = items(spark, sf_dir)
-    bounds = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.array_sort(F.collect_list("byte_end")), lambda x: x))
-    b = tokens(d, "doc_id", WORDS, "du").groupBy("doc_id").agg(bounds.alias("bounds"))
-    c = tokens(d, "doc_id", cap(3), "target").join(b, "doc_id")
-    lo = F.size(F.filter("bounds", lambda x: x <= F.col("byte_start"))) - 1
-    hi = F.size(F.filter("bounds", lambda x: x < F.col("byte_end")))
-    return c.select(F.col("doc_id").alias("item_id"), "pos", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), F.array_contains("bounds", F.col("byte_start")).alias("starts_on"), F.array_contains("bounds", F.col("byte_end")).alias("ends_on"))
+    """Each target token's range of DU tokens by binary search in the document's bounds."""
+    d = docs(spark, sf_dir).where("text <> ''").select("doc_id", lengths(F.col("text"), cap(3)).alias("target"), lengths(F.col("text"), WORDS).alias("du"))
+    return align.length_spans(d, "target", "du")
 
 
 @query(with_(view("w", "words", "benchmark", "item_id")) + "SELECT doc_id AS item_id, pos, '{\"id\":' || id || ',\"byte_start\":' || byte_start || ',\"byte_end\":' || byte_end || ',\"bytes_hex\":\"' || lower(hex(encode(tok))) || '\"}' AS line FROM w")
@@ -343,3 +316,21 @@ def loaded_stream_check(spark, sf_dir):
     one = F.array(F.lit(1).cast("bigint"))
     forms = [good, (F.concat("ids", one), good[1], good[2]), (good[0], good[1], F.concat("bounds", one)), (good[0], good[1], F.transform("bounds", lambda x: F.when(x == 0, F.lit(7).cast("bigint")).otherwise(x))), (good[0], good[1], F.transform("bounds", lambda x: F.when(x == 0, x).otherwise(x + 1)))]
     return d.select(F.col("doc_id").alias("item_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), validate.arrays_error(*f).alias("error")) for i, f in enumerate(forms)])).alias("v")).select("item_id", "v.variant", "v.error")
+
+
+@query("SELECT doc_id, s AS stream, CAST(NULL AS VARCHAR) AS mismatch FROM documents, (VALUES ('du'), ('source'), ('target')) v(s)")
+def rebuild_assert(spark, sf_dir):
+    """Token rows of three views gathered by document; a stream that did not rebuild it would fail the query."""
+    d = docs(spark, sf_dir)
+    t = tokens(d, "doc_id", WORDS, "source").unionByName(tokens(d, "doc_id", LEXEMES, "du")).unionByName(tokens(d, "doc_id", cap(5), "target"))
+    r = bridge.strict(bridge.report(t, raw(d)))
+    return r.select("doc_id", F.explode(F.array(*[F.lit(x) for x in bridge.STREAMS])).alias("stream"), F.col("mismatch_stream").alias("mismatch"))
+
+
+@query("SELECT l_orderkey, l_linenumber, v AS variant, v < 2 AS fits FROM lineitem, (VALUES (0), (1), (2), (3)) x(v)")
+def id_narrowing(spark, sf_dir):
+    """Which 64-bit ids fit 32 bits: small ones and the largest that does, then the next one and negative ones."""
+    k = F.col("l_orderkey").cast("bigint")
+    forms = (k, F.lit((1 << 32) - 1).cast("bigint"), k + (1 << 32), -k - 1)
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), x.alias("id")) for i, x in enumerate(forms)])).alias("v"))
+    return d.select("l_orderkey", "l_linenumber", "v.variant", validate.u32_ok(F.col("v.id")).alias("fits"))

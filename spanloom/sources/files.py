@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.bytestrings import decode_lexeme, from_hex, hex_ok
+from spanloom.operators.ranks import accumulated
 from spanloom.schema import TOKEN_JSONL
 
 MAX_TOKEN_BYTES = 1_000_000
@@ -127,26 +128,43 @@ def packed(spark: SparkSession, path: str, width: int, suffix: str = "") -> Data
     return _blobs(raw_files(spark, path, suffix), read, "path string, stem string, pos bigint, value bigint", ["path", "stem"], {"pos": pa.int64(), "value": pa.int64()})
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, line (from 1 within its file) and pos (from 0 over all lines that are not blank), in file order.
+
+    Text splits are read in order; only their counts reach the driver, one row per split, and set the numbers off.
+    """
+    at = ["file", "block"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("_a", F.monotonically_increasing_id())
+    solid = F.trim("value", F.lit(" \t\r\n\x0b\x0c")) != ""
+    full = lines.where(solid).withColumn("_b", F.monotonically_increasing_id())
+    counts = {tuple(r)[:2]: r for r in lines.groupBy(*at).agg(F.min("_a").alias("a"), F.count("*").alias("n")).collect()}
+    solids = {tuple(r)[:2]: r for r in full.groupBy(*at).agg(F.min("_b").alias("b"), F.count("*").alias("n")).collect()}
+    rows, pos, line, last = [], 0, 1, None
+    for key in sorted(counts):
+        line = 1 if key[0] != last else line
+        own = solids.get(key)
+        rows.append((*key, counts[key].a - line, (own.b if own else 0) - pos))
+        line, pos, last = line + counts[key].n, pos + (own.n if own else 0), key[0]
+    side = F.broadcast(spark.createDataFrame(rows, "file string, block bigint, _line bigint, _pos bigint"))  # one row per split
+    return full.join(side, at).select("value", "file", (F.col("_a") - F.col("_line")).alias("line"), (F.col("_b") - F.col("_pos")).alias("pos"))
+
+
 def token_jsonl(spark: SparkSession, path: str, doc_id: int = 0, stream: str = "source") -> DataFrame:
-    """Token rows of a JSON-lines file in file order; blank lines are skipped, unknown keys ignored, bad lines fail the query.
+    """Token rows of a JSON-lines file in file order; blank lines are skipped, unknown keys ignored.
 
-    Lines are ordered by file, split offset and running id within the split, whatever order the splits are read in.
+    A bad line fails the query, which names its number.
     """
-    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at"))
-    lines = lines.where(F.trim("value", F.lit(" \t\r\n\x0b\x0c")) != "")
-    parsed = lines.withColumn("r", F.from_json("value", TOKEN_JSONL, {"mode": "FAILFAST"}))
+    parsed = numbered_lines(spark, path).withColumn("r", F.from_json("value", TOKEN_JSONL, {"mode": "PERMISSIVE"}))
     bad = F.col("r").isNull() | F.col("r.id").isNull() | F.col("r.byte_start").isNull() | F.col("r.byte_end").isNull() | F.col("r.bytes_hex").isNull() | ~hex_ok(F.col("r.bytes_hex")) | (F.col("r.id") < 0)
-    id_ = F.when(bad, F.raise_error(F.concat(F.lit("bad token line: "), F.col("value"))).cast("bigint")).otherwise(F.col("r.id"))
-    pos = F.row_number().over(Window.partitionBy("doc_id", "stream").orderBy("at")).cast("bigint") - 1
-    rows = parsed.select(F.lit(doc_id).cast("bigint").alias("doc_id"), F.lit(stream).alias("stream"), "at", id_.alias("id"), "r.byte_start", "r.byte_end", from_hex(F.col("r.bytes_hex")).alias("bytes"))
-    return rows.withColumn("pos", pos).select("doc_id", "stream", "pos", "id", "byte_start", "byte_end", "bytes")
+    text = F.concat(F.lit("bad token line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"), F.lit(": "), F.left("value", F.lit(200)))
+    id_ = F.when(bad, F.raise_error(text).cast("bigint")).otherwise(F.col("r.id"))
+    return parsed.select(F.lit(doc_id).cast("bigint").alias("doc_id"), F.lit(stream).alias("stream"), "pos", id_.alias("id"), "r.byte_start", "r.byte_end", from_hex(F.col("r.bytes_hex")).alias("bytes"))
 
 
 def _inclusive(rows: DataFrame, max_bytes: int | None) -> DataFrame:
-    """Running bounds, and the rows up to the one that reaches ``max_bytes`` (at least the first)."""
-    w = Window.partitionBy("doc_id").orderBy("path", "local_pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"byte_end": F.sum(F.octet_length("bytes")).over(w), "pos": (F.count("*").over(w) - 1).cast("bigint")})
-    rows = rows.withColumn("byte_start", F.col("byte_end") - F.octet_length("bytes"))
+    """Running bounds of one stream, and the rows up to the one that reaches ``max_bytes`` (at least the first)."""
+    rows = accumulated(rows.withColumn("_n", F.octet_length("bytes").cast("bigint")), ["path", "local_pos"], "_n", "pos", "byte_end")
+    rows = rows.withColumn("byte_start", F.col("byte_end") - F.col("_n")).drop("_n")
     if max_bytes is not None:
         rows = rows.where((F.col("byte_start") < max_bytes) | (F.col("pos") == 0))
     return rows
@@ -156,12 +174,30 @@ def _known(value, message: str):
     return F.when(value.isNull(), F.raise_error(F.lit(message)).cast("bigint"))
 
 
-def du_run(spark: SparkSession, path: str, *, gmap: str = "gmap24", max_bytes: int | None = None, doc_id: int = 0) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def gmap_of(spark: SparkSession, path: str) -> str:
+    """The folder of global ids of a run: ``gmap24`` where it is there, else ``gmap32``; neither is an error."""
+    for name in ("gmap24", "gmap32"):
+        if exists(spark, f"{path}/{name}"):
+            return name
+    raise ValueError(f"{path} has neither gmap24 nor gmap32")
+
+
+def du_vocabulary_size(spark: SparkSession, path: str) -> int:
+    """Entries of a run's dictionary."""
+    return dictionary(spark, f"{path}/merged.dict").count()
+
+
+def du_run(spark: SparkSession, path: str, *, gmap: str | None = None, max_bytes: int | None = None, doc_id: int = 0) -> DataFrame:
     """Token rows of a dictionary-encoded run: local ids, their global ids by file, and the lexemes' bytes.
 
-    ``gmap``: ``gmap24`` or ``gmap32``, the folder that is there (24 first where both are). A local or global id without an
-    entry fails the query.
+    ``gmap``: ``gmap24`` or ``gmap32``; by default the one that is there. A local or global id without an entry fails the query.
     """
+    gmap = gmap or gmap_of(spark, path)
     local = packed(spark, f"{path}/local_u16", 2, ".u16").withColumnRenamed("pos", "local_pos")
     if gmap not in ("gmap24", "gmap32"):
         raise ValueError(f"{gmap} is not supported")
@@ -183,9 +219,17 @@ def target_run(spark: SparkSession, path: str, *, max_bytes: int | None = None,
     return _inclusive(rows, max_bytes).select("doc_id", "stream", "pos", "id", "byte_start", "byte_end", "bytes")
 
 
-def ranked_vocabulary(spark: SparkSession, path: str, *, id_offset: int = 0) -> DataFrame:
-    """id, bytes of a text file of ``base64 rank`` lines; ``id_offset`` empty entries stand before them."""
+def ranked_vocabulary(spark: SparkSession, path: str, *, id_offset: int = 0, entries: int | None = None) -> DataFrame:
+    """id, bytes of a text file of ``base64 rank`` lines; ``id_offset`` empty entries stand before them.
+
+    With ``entries`` the ids must be exactly 0 to ``entries`` - 1, each once, or it is an error.
+    """
     lines = spark.read.text(path).where(F.trim("value") != "")
     parts = F.split(F.trim("value"), " ")
     own = lines.select((parts[1].cast("bigint") + id_offset).alias("id"), F.to_binary(parts[0], F.lit("base64")).alias("bytes"))
-    return spark.range(id_offset).select("id", F.unhex(F.lit("")).alias("bytes")).unionByName(own)
+    out = spark.range(id_offset).select("id", F.unhex(F.lit("")).alias("bytes")).unionByName(own)
+    if entries is not None:
+        n, distinct, least, most = out.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+        if (n, distinct, least, most) != (entries, entries, 0 if entries else None, entries - 1 if entries else None):
+            raise ValueError(f"ids of {path}: {n} entries, {distinct} distinct, from {least} to {most}; expected 0 to {entries - 1}")
+    return out

@@ -6,12 +6,14 @@ import hashlib
 import json
 import struct
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.bytestrings import to_hex
+from spanloom.operators.validate import u32_ok
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,10 +47,14 @@ def jsonl_line() -> Column:
 
 
 def write_jsonl(tokens: DataFrame, path: str) -> int:
-    """One stream in the order of ``pos``; returns its rows. Sorted range partitions become part files in order."""
-    ordered = tokens.orderBy("pos").select(jsonl_line().alias("value"))
+    """One stream in the order of ``pos``; returns its rows. Sorted range partitions become part files in order.
+
+    The rows are counted as they are written.
+    """
+    seen = Observation("written")
+    ordered = tokens.orderBy("pos").select(jsonl_line().alias("value")).observe(seen, F.count("*").alias("n"))
     ordered.write.text(path)
-    return tokens.count()
+    return seen.get["n"]
 
 
 def pack_u32(ids: Iterable[int]) -> bytes:
@@ -56,19 +62,19 @@ def pack_u32(ids: Iterable[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def write_u32(stream: DataFrame, path: str, column: str = "id", order: tuple[str, ...] = ("pos",), chunk: int = 1 << 16) -> int:
-    """A stream's ids as little-endian 32-bit words in one file; the driver holds one partition at a time."""
+def write_u32(stream: DataFrame, path: str, column: str = "id", order: tuple[str, ...] = ("pos",)) -> int:
+    """A stream's ids as little-endian 32-bit words in one file; an id that does not fit fails the query.
+
+    Executors pack their sorted partitions; the driver, which writes the one file, passes packed blocks on, one partition at a time.
+    """
+    fits = F.when(u32_ok(F.col(column)), F.col(column)).otherwise(F.raise_error(F.concat(F.lit("id does not fit 32 bits: "), F.col(column).cast("string"))).cast("bigint"))
 
-    def chunks():
-        held: list[int] = []
-        for r in stream.orderBy(*order).select(column).toLocalIterator():
-            held.append(r[0])
-            if len(held) >= chunk:
-                yield pack_u32(held)
-                held.clear()
-        yield pack_u32(held)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("id").to_numpy().astype("<u4").tobytes()], pa.binary())], ["block"])
 
-    return write_bytes(stream.sparkSession, path, chunks())
+    blocks = stream.orderBy(*order).select(fits.alias("id")).mapInArrow(pack, "block binary")
+    return write_bytes(stream.sparkSession, path, (bytes(r.block) for r in blocks.toLocalIterator()))
 
 
 def model_bin_bytes(entries: list[bytes], magic: bytes = b"") -> bytes:
@@ -98,10 +104,19 @@ def provenance(name: str, origin: str, raw: bytes, lines: bytes) -> dict:
     return {"tokenizer_name": name, "tokenizer_provenance": origin, "input_byte_length": len(raw), "input_sha256": hashlib.sha256(raw).hexdigest(), "token_count": lines.count(b"\n"), "fixture_sha256": hashlib.sha256(lines).hexdigest()}
 
 
-def verify_fixture(spark: SparkSession, path: str, expected: bytes) -> tuple[str, int]:
-    """(OK, 0), (MISSING, 1) or (MISMATCH, 1)."""
+def verify_fixture(spark: SparkSession, path: str, expected: bytes | Callable[[], bytes]) -> tuple[str, int]:
+    """(OK, 0), (MISSING, 1) or (MISMATCH, 1); (DEPENDENCY, 2) where a function that makes the bytes lacks an optional library."""
+    try:
+        want = expected() if callable(expected) else expected
+    except ImportError:
+        return "DEPENDENCY", 2
     got = read_bytes(spark, path)
-    return ("MISSING", 1) if got is None else ("OK", 0) if got == expected else ("MISMATCH", 1)
+    return ("MISSING", 1) if got is None else ("OK", 0) if got == want else ("MISMATCH", 1)
+
+
+def write_dense_ids(mapped: DataFrame, path: str) -> None:
+    """A lexeme map as JSON lines, one for each gid in order: gid and its target ids."""
+    mapped.orderBy("gid").select("gid", "target_ids").write.json(path)
 
 
 def write_samples(rows: DataFrame, path: str) -> None:

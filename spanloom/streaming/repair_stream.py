@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.functions.tokenizers import Tokenizer
+from spanloom.functions.tokenizers import Tokenizer, parts_of
 
 OUT = "conv_id bigint, turn bigint, n_tokens bigint, n_bytes bigint, dropped bigint, fresh bigint, ids_sha256 string"
 STATE = "raw binary, ids array<bigint>, ends array<bigint>"
@@ -29,8 +29,8 @@ def append(tok: Tokenizer, raw: bytes, ids: list[int], ends: list[int], delta: b
     start = ends[keep - 1] if keep else 0
     fresh = tok.encode(raw[start:] + delta)
     new_ids, new_ends, at = ids[:keep], ends[:keep], start
-    for i in fresh:
-        at += len(tok.decode([i]))
+    for p in parts_of(tok, fresh):
+        at += len(p)
         new_ends.append(at)
     return new_ids + fresh, new_ends, len(ids) - keep, len(fresh)
 

@@ -38,7 +38,9 @@ def test_commands(spark, run, capsys):
     assert out["du_exact"] and out["target_exact"] and out["target_tokens"] == len(TEXT.encode()) and out["samples"]
     assert cli.main(["remap", "--raw", f"{run}/raw.txt", "--du-run", f"{run}/run", "--vocabulary", f"{run}/target/model.bin", "--chunk-bytes", "10"]) == 0
     out = json.loads(capsys.readouterr().out)
-    assert out["exact"] and out["emitted"] == len(TEXT.encode())
+    assert out["exact"] and out["emitted"] == out["target_bytes"] == len(TEXT.encode()) and out["target_sha256"] == out["raw_sha256"]
+    sinks.write_bytes(spark, f"{run}/other.txt", [TEXT.encode() + b"!"])
+    assert cli.main(["remap", "--raw", f"{run}/other.txt", "--du-run", f"{run}/run", "--vocabulary", f"{run}/target/model.bin", "--chunk-bytes", "10"]) == 2
 
 
 def test_lexeme_needs_one_input(spark):
@@ -55,3 +57,24 @@ def test_repair_files(spark, tmp_path):
     sinks.write_bytes(spark, f"{tmp_path}/d", [b"s three"])
     out = cli.repair_files(spark, "", f"{tmp_path}/p", f"{tmp_path}/d", tokenizer=RegexTokenizer(WORDS))
     assert out["exact"] and out["drop"] == 1 and out["n_ids"] == 3 and len(out["trials"]) == 2
+
+
+def test_repair_du_files(spark, tmp_path):
+    """A snapshot from files: the tail is cut from the DU run inside its last lexeme."""
+    from spanloom.functions.tokenizers import RegexTokenizer
+
+    prefix, delta = "one two", "s three"
+    sinks.write_bytes(spark, f"{tmp_path}/p", [prefix.encode()])
+    sinks.write_bytes(spark, f"{tmp_path}/d", [delta.encode()])
+    sinks.write_jsonl(tokens(spark.createDataFrame([(0, prefix)], "doc_id bigint, text string"), "doc_id", WORDS, "source"), f"{tmp_path}/spans.jsonl")
+    write_du_run(spark, [("a", prefix)], f"{tmp_path}/pr")
+    write_du_run(spark, [("a", delta)], f"{tmp_path}/dr", width=4)
+    at = lambda *names: [f"{tmp_path}/{n}" for n in names]
+    tok = RegexTokenizer(WORDS)
+    tok.encode(prefix.encode())  # its ids are hashes, and it decodes only what it has seen
+    out = cli.repair_du_files(spark, "", *at("p", "d", "spans.jsonl", "pr", "dr"), tokenizer=tok)
+    assert out["gate"] is None and out["exact"] and (out["drop"], out["repair_start"], out["n_ids"], len(out["trials"])) == (1, 3, 3, 2)
+    out = cli.repair_du_files(spark, "", *at("p", "d", "spans.jsonl", "pr", "dr"), fixed_drop=0, tokenizer=tok)
+    assert out["gate"] == "ids" and not out["exact"]
+    out = cli.repair_du_files(spark, "", *at("p", "d", "spans.jsonl", "pr", "pr"), fixed_drop=1, tokenizer=tok)
+    assert out["gate"] == "delta"

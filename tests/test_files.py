@@ -177,3 +177,69 @@ def test_ranked_tokenizer_records(spark):
     cut = fixtures.records(d, tok, "native", 5)
     assert {r.doc_id: r.n for r in cut.groupBy("doc_id").agg(F.max("byte_end").alias("n")).collect()} == {1: 5, 3: 4}
     assert all(r.equal == (r.diverges_at is None) for r in fixtures.lexeme_equivalence(d, tok, WORDS).collect())
+
+
+def test_lines_are_numbered_in_their_files(spark, tmp_path):
+    """Errors name the line, blank lines count for it but not for positions; several files follow each other."""
+    import os
+
+    good = '{"id":1,"byte_start":0,"byte_end":1,"bytes_hex":"61"}'
+    folder = f"{tmp_path}/many"
+    os.makedirs(folder)
+    for name, lines in (("a.txt", [good, "", good, "  "]), ("b.txt", ["", good])):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("\n".join(lines) + "\n")
+    got = sorted((r.file[-5:], r.line, r.pos) for r in files.numbered_lines(spark, folder).collect())
+    assert got == [("a.txt", 1, 0), ("a.txt", 3, 1), ("b.txt", 2, 2)]
+    with open(f"{tmp_path}/bad.txt", "w") as f:
+        f.write(f"{good}\n\n{good}\nnonsense\n")
+    with pytest.raises(Exception, match="bad token line 4 of .*bad.txt"):
+        files.token_jsonl(spark, f"{tmp_path}/bad.txt").collect()
+    small = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "0"}
+    with open(f"{tmp_path}/long.txt", "w") as f:
+        f.write("".join(good.replace('"id":1', f'"id":{i}') + "\n" * (1 + i % 3) for i in range(100)))
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = files.token_jsonl(spark, f"{tmp_path}/long.txt")
+        assert sorted((r.pos, r.id) for r in rows.collect()) == [(i, i) for i in range(100)]
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
+def test_gmap_is_found(spark, tmp_path):
+    from spanloom.plans.files import write_du_run
+
+    with pytest.raises(ValueError, match="neither"):
+        files.du_run(spark, str(tmp_path))
+    write_du_run(spark, [("a", "one two")], f"{tmp_path}/r", width=4)
+    assert files.gmap_of(spark, f"{tmp_path}/r") == "gmap32" and files.du_vocabulary_size(spark, f"{tmp_path}/r") == 3
+    write_du_run(spark, [("a", "one two")], f"{tmp_path}/r", width=3)
+    assert files.gmap_of(spark, f"{tmp_path}/r") == "gmap24"
+
+
+def test_ranked_ids_must_all_be_there(spark, tmp_path):
+    sinks.write_bytes(spark, f"{tmp_path}/v", [b"YQ== 0\nYg== 2\n"])
+    assert files.ranked_vocabulary(spark, f"{tmp_path}/v").count() == 2
+    with pytest.raises(ValueError, match="expected 0 to 1"):
+        files.ranked_vocabulary(spark, f"{tmp_path}/v", entries=2)
+
+
+def test_ids_that_do_not_fit(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1), (1, 1 << 32)], "pos bigint, id bigint")
+    with pytest.raises(Exception, match="does not fit 32 bits: 4294967296"):
+        sinks.write_u32(rows, f"{tmp_path}/x.u32")
+
+
+def test_running_sums(spark):
+    from spanloom.operators.ranks import accumulated
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 5).alias("n")).repartition(7)
+    rows = sorted(df.collect())
+    got = {r.k: (r.at, r.total) for r in accumulated(df, ["k"], "n", "at", "total").collect()}
+    total, want = 0, {}
+    for i, (k, n) in enumerate(rows):
+        total += n
+        want[k] = (i, total)
+    assert got == want and accumulated(df.limit(0), ["k"], "n", "at", "total").count() == 0

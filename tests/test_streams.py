@@ -122,8 +122,8 @@ def test_remap_golden(spark):
     assert {r.gid: r.ids for r in segment.segment_join(lex, vocab).collect()} == {0: [2], 1: [3], 2: [1, 0]}
     stream = spark.createDataFrame([(1, 0, 2), (1, 1, 0)], "doc_id bigint, pos bigint, gid bigint")
     assert [(r.pos, r.sub, r.target_id) for r in remap.expand(stream, m).orderBy("pos", "sub").collect()] == [(0, 0, 1), (0, 1, 0), (1, 0, 2)]
-    s = remap.summary(stream, m, 1).first()
-    assert (s.positions, s.emitted, s.du_bytes, s.distinct_gids, s.chunks) == (2, 3, 4, 2, 2)
+    s = remap.summary(stream, m, vocab, 1).first()
+    assert (s.positions, s.emitted, s.du_bytes, s.target_bytes, s.distinct_gids, s.chunks) == (2, 3, 4, 4, 2, 2) and s.du_sha256 == s.target_sha256
     with pytest.raises(Exception, match="gid 1"):
         remap.build_map(lex, vocab.where("id < 3")).collect()
     with pytest.raises(Exception, match="out of range"):
@@ -199,3 +199,184 @@ def test_append_matrix(spark):
             full = tok.encode(bytes(r.prefix) + bytes(r.delta))
             assert r.ids == full if r.exact else r.reason is not None
     assert sum(r.exact for r in out) >= 0.8 * len(out)
+
+
+def test_bridge_rows_and_columns_agree(spark):
+    """Token rows and columns give the same report, also where streams are missing, spoilt or empty; strict fails there."""
+    rows = cut(1, "source", ["hé", "界"]) + cut(1, "du", ["h", "é", "界"]) + cut(1, "target", ["hé界"]) + cut(2, "source", ["ab"]) + cut(2, "du", ["x", "b"]) + cut(2, "target", ["a", "b"])
+    rows += cut(3, "source", ["a"])
+    docs = spark.createDataFrame([(1, "hé界".encode()), (2, b"ab"), (3, b"a"), (4, b"")], "doc_id bigint, raw binary")
+    got = {r.doc_id: r for r in bridge.report(frame(spark, rows), docs).collect()}
+    parts = {(d, s): [b for doc, st, *_, b in rows if (doc, st) == (d, s)] for d in range(1, 5) for s in bridge.STREAMS}
+    views = spark.createDataFrame([(d.doc_id, d.raw, *[parts[d.doc_id, s] for s in bridge.STREAMS]) for d in docs.collect()], "doc_id bigint, raw binary, source array<binary>, du array<binary>, target array<binary>")
+    assert {r.doc_id: r for r in bridge.report_columns(views).collect()} == got
+    assert (got[2].du_exact, got[2].mismatch_stream, got[2].mismatch_offset) == (False, "du", 0) and (got[3].mismatch_stream, got[3].mismatch_offset) == ("du", 0) and got[4].target_exact
+    with pytest.raises(Exception, match="stream du does not rebuild document"):
+        bridge.strict(bridge.report(frame(spark, rows), docs)).collect()
+    assert bridge.strict(bridge.report(frame(spark, rows), docs.where("doc_id IN (1, 4)"))).count() == 2
+
+
+def test_ledger_of_lengths_equals_rows(spark):
+    import random
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab é 界 ") for _ in range(r.randrange(60))) for _ in range(40)] + [""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    from spanloom.operators.views import cap, lengths, tokens
+
+    raw = d.select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    views = d.select("doc_id", F.octet_length("text").cast("bigint").alias("raw_len"), lengths(F.col("text"), WORDS).alias("du"), lengths(F.col("text"), cap(5)).alias("target"))
+    for limit in (0, 7, 30, 1000):
+        for legacy in (False, True):
+            rows = ledger.ledger(raw, tokens(d, "doc_id", WORDS, "du"), tokens(d, "doc_id", cap(5), "target"), limit, legacy=legacy)
+            assert sorted(map(str, rows.collect())) == sorted(map(str, ledger.ledger_lengths(views, limit, legacy=legacy).collect()))
+
+
+def test_target_du_span_with_empty_tokens():
+    bounds = [0, 2, 2, 5, 5, 7]
+    for s in range(7):
+        for e in range(s + 1, 8):
+            lo = max(i for i, b in enumerate(bounds) if b <= s)
+            hi = min(i for i, b in enumerate(bounds) if b >= e)
+            assert align.target_du_span(bounds, s, e) == (lo, hi, hi - lo, s in bounds, e in bounds)
+
+
+def test_translate_equals_summary(spark):
+    import random
+
+    r = random.Random(5)
+    lex = [(i, w) for i, w in enumerate([b"ab", b"c", b"ba", "é".encode(), b"abcabc"])]
+    vocab = spark.createDataFrame([(i, bytes([i])) for i in range(256)] + [(300, b"ab"), (301, b"abc")], "id bigint, bytes binary")
+    docs = {d: [r.choice(lex) for _ in range(r.randrange(1, 50))] for d in range(20)}
+    stream = spark.createDataFrame([(d, i, g) for d, v in docs.items() for i, (g, _) in enumerate(v)], "doc_id bigint, pos bigint, gid bigint")
+    rows = remap.summary(stream, remap.build_map(spark.createDataFrame(lex, "gid bigint, bytes binary"), vocab), vocab, 7)
+    views = spark.createDataFrame([(d, [b for _, b in v]) for d, v in docs.items()], "doc_id bigint, parts array<binary>")
+    columns = remap.translate(views, vocab, 7)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, columns.collect()))
+    raw = spark.createDataFrame([(d, b"".join(b for _, b in v) + (b"x" if d == 3 else b"")) for d, v in docs.items()], "doc_id bigint, raw binary")
+    assert {x.doc_id: x.exact for x in remap.triangle(columns, raw).collect()} == {d: d != 3 for d in docs}
+    with pytest.raises(Exception, match="cannot be mapped"):
+        remap.translate(views, vocab.where("id <> 99"), 7).collect()
+
+
+def test_decoder_and_round_trip(spark):
+    d = segment.Decoder([(0, b"a"), (1, b""), (5, "é".encode()), (9, b"xyz")])
+    import numpy as np
+
+    assert d.decode(np.array([9, 0, 1, 5, 9])) == b"xyza" + "é".encode() + b"xyz" and d.decode(np.array([], np.int64)) == b"" and d.decode(np.array([2])) is None and d.decode(np.array([10])) is None and d.decode(np.array([-1])) is None
+    assert segment.Decoder([(1 << 40, b"q")]).decode(np.array([1 << 40])) == b"q" and segment.Decoder([]).decode(np.array([3])) is None
+    vocab = spark.createDataFrame(V, "id bigint, bytes binary")
+    rows = spark.createDataFrame([(1, b"abab"), (2, b"abc"), (3, b""), (4, None)], "k int, bytes binary")
+    got = {r.k: r for r in segment.round_trip(rows, vocab).collect()}
+    import hashlib
+
+    assert (got[1].n_ids, got[1].n_bytes, got[1].decoded_sha256, got[1].exact) == (2, 4, hashlib.sha256(b"abab").hexdigest(), True)
+    assert got[2].n_ids is None and not got[2].exact and got[3].n_bytes == got[4].n_bytes == 0
+    back = segment.decode(segment.segment(rows, vocab), vocab)
+    assert {r.k: r.decoded for r in back.collect()} == {1: b"abab", 2: None, 3: b"", 4: None}
+
+
+def stored(spark, rows):
+    """Snapshots of (doc_id, prefix, delta), with the delta's DU state."""
+    df = spark.createDataFrame(rows, "doc_id bigint, prefix binary, delta binary")
+    out = repair.snapshot(df.select("doc_id", "prefix"), Scripted(), Pairs()).join(df.drop("prefix"), "doc_id")
+    return repair.du_state("delta", Pairs(), out, "delta_state")
+
+
+class Pairs:
+    """A DU tokenizer of two bytes at a time."""
+
+    def encode(self, raw):
+        return [int.from_bytes(raw[i : i + 2], "big") << 1 | (i + 1 == len(raw)) for i in range(0, len(raw), 2)]
+
+    def decode(self, ids):
+        return b"".join((i >> 1).to_bytes(1 if i & 1 else 2, "big") for i in ids)
+
+
+def test_du_aware_repair(spark):
+    """The tail comes from the DU state across its lexemes; empty deltas, full windows, exhaustion and broken inputs."""
+    s = stored(spark, [(1, b"xyab", b"cd"), (2, b"ab", b""), (3, b"b", b"c"), (4, b"", b"q"), (5, b"xyz", b"z")])
+    r = {x.doc_id: x for x in repair.repair_snapshots(s, Scripted(), max_drop=2).withColumn("gate", repair.gates()).collect()}
+    assert (r[1].drop, r[1].repair_start, r[1].tail, r[1].window, r[1].exact, len(r[1].trials), r[1].gate) == (1, 3, 1, 3, True, 2, None)
+    assert r[1].ids == Scripted().encode(b"xyabcd") and r[1].du_delta_exact and r[1].decode_exact and not r[1].full_window
+    assert (r[2].drop, r[2].window, r[2].repair_start, r[2].exact) == (0, 0, 2, True) and r[2].ids == Scripted().encode(b"ab")
+    assert r[3].drop is None and [t.reason for t in r[3].trials] == [None, repair.FULL, repair.DROP] and r[3].gate == "reason"
+    assert r[4].reason == "empty prefix" and (r[5].drop, r[5].exact) == (0, True)
+    fixed = {x.doc_id: x for x in repair.repair_snapshots(s, Scripted(), fixed_drop=0).withColumn("gate", repair.gates()).collect()}
+    assert fixed[1].gate == "ids" and fixed[5].gate is None
+    spoilt = s.withColumn("prefix_sha256", F.when(F.col("doc_id") == 1, "0").otherwise(F.col("prefix_sha256")))
+    d = F.col("delta_state")
+    spoilt = spoilt.withColumn("delta_state", F.when(F.col("doc_id") == 5, F.struct(d["ids"].alias("ids"), d["parts"].alias("parts"), F.transform(d["bounds"], lambda b: b * 2).alias("bounds"))).otherwise(d))
+    spoilt = spoilt.withColumn("delta", F.when(F.col("doc_id") == 2, F.lit(b"other")).otherwise(F.col("delta")))
+    r = {x.doc_id: x for x in repair.repair_snapshots(spoilt, Scripted()).withColumn("gate", repair.gates()).collect()}
+    assert r[1].reason == "invalid snapshot: hash" and not r[1].trials and r[5].reason == "invalid delta: sum" and not r[5].exact and r[2].du_delta_exact is False
+
+
+def test_du_tail_and_start_checks():
+    s = repair.State([b"ab", b"", b"cde"], [0, 2, 2, 5])
+    assert all(s.bytes_from(i, j) == b"abcde"[i:j] for i in range(6) for j in range(i, 6))
+
+    class Never:
+        def encode(self, raw):
+            raise AssertionError
+
+    for ends, size, reason in (([0], 5, repair.FULL), ([7], 5, repair.OUTSIDE), ([3], 6, repair.TAIL)):
+        with pytest.raises(repair.Rejected, match=reason):
+            repair.candidate_du(Never(), [1], ends, size, s, b"x", 0)
+    with pytest.raises(repair.Rejected, match=repair.DROP):
+        repair.candidate_du(Never(), [1], [1], 5, s, b"x", 2)
+
+
+def test_turns_equal_rows(spark):
+    """One pass over a conversation gives what independent rows give."""
+    import hashlib
+    import random
+
+    r = random.Random(8)
+    turns = [(c, t, r.choice([None, "", "the ", "  two", "words here", "x\\n\\n", "é世"])) for c in range(12) for t in range(r.randrange(1, 9))]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn int, text string")
+    for tok in (RegexTokenizer(WORDS), Scripted()):
+        for version, fixed in ((1, None), (2, None), (2, 1)):
+            rows = repair.repair(repair.appends(df), tok, version=version, fixed_drop=fixed, max_drop=3).collect()
+            one = lambda x: (x.conv_id, x.turn, x.drop, x.kept, x.repair_start, x.tail, x.window, x.fresh, x.exact, x.reason)
+            want = {(*one(x), None if x.ids is None else hashlib.sha256(",".join(map(str, x.ids)).encode()).hexdigest(), len(x.trials)) for x in rows}
+            got = {(*one(x), x.ids_sha256, x.n_trials) for x in repair.repair_turns(df, tok, version=version, fixed_drop=fixed, max_drop=3).collect()}
+            assert got == want
+    h = repair.histogram(repair.repair_turns(df, RegexTokenizer(WORDS)), ["conv_id"])
+    assert h.count() == 12 and h.agg(F.sum("cases")).first()[0] == len(turns)
+
+
+def test_snapshot_errors_in_order(spark):
+    good = stored(spark, [(1, b"xyab", b"")]).first().asDict(recursive=True)
+    span = lambda i, **more: [s | more if j == i else s for j, s in enumerate(good["native_spans"])]
+    cases = [
+        ({}, None), ({"prefix": b""}, "empty prefix"), ({"prefix_len": 9}, "length"), ({"prefix_sha256": "0"}, "hash"), ({"du_state": {"ids": [1], "parts": [b"xy"], "bounds": [0, 2]}}, "du rebuild"),
+        ({"native_ids": [1]}, "count"), ({"native_ids": [], "native_spans": []}, "no spans"), ({"native_spans": span(1, id=7)}, "span id"), ({"native_spans": span(1, byte_start=0)}, "contiguity"),
+        ({"native_spans": span(0, byte_end=0)}, "empty span"), ({"native_spans": span(3, byte_end=5)}, "range"), ({"native_spans": span(2, bytes_hex="6")}, "hex"), ({"native_spans": span(2, bytes_hex="zz")}, "hex"),
+        ({"native_spans": span(2, bytes_hex="62")}, "bytes"), ({"native_spans": span(2, bytes_hex="6161")}, "bytes"), ({"native_spans": good["native_spans"][:3], "native_ids": good["native_ids"][:3]}, "final end"),
+        ({"native_spans": [s | {"bytes_hex": "6G"} if j == 0 else s | {"id": 7} if j == 1 else s for j, s in enumerate(good["native_spans"])]}, "hex"), ({"native_spans": span(0, bytes_hex="78".upper())}, None),
+    ]
+    from spanloom.schema import SNAPSHOT
+
+    rows = spark.createDataFrame([tuple({**good, "doc_id": i, **change}[c] for c in ("doc_id", "prefix", "prefix_len", "prefix_sha256", "native_ids", "native_spans", "du_state")) for i, (change, _) in enumerate(cases)], SNAPSHOT)
+    assert [r.error for r in repair.snapshot_errors(rows).orderBy("doc_id").collect()] == [e for _, e in cases]
+    with pytest.raises(Exception, match="32 bits"):
+        repair.snapshot(spark.createDataFrame([(1, b"abc")], "doc_id bigint, prefix binary"), Wide(), Pairs()).collect()
+
+
+class Wide(Pairs):
+    def encode(self, raw):
+        return [i + (1 << 40) for i in Pairs.encode(self, raw)]
+
+    def decode(self, ids):
+        return Pairs.decode(self, [i - (1 << 40) for i in ids])
+
+
+def test_pieces_that_share_an_id(monkeypatch):
+    """The piece that was encoded last is the one that its id decodes to."""
+    from spanloom.functions import tokenizers
+
+    monkeypatch.setattr(tokenizers, "piece_id", lambda raw: len(raw))
+    t = RegexTokenizer(WORDS)
+    for text in (b"ab cd", b"xy", b"ab cd", b"xy zzz"):
+        assert t.decode(t.encode(text)) == text

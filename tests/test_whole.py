@@ -37,25 +37,25 @@ def brute_ledger(text, legacy):
     return (len(text.encode()), n, exact, n - exact, sum(a not in starts for a, _ in target), sum(b not in ends for _, b in target), max(covered, default=0), len(du), round(share, 6) if legacy and n else share)
 
 
-@pytest.mark.parametrize("name,legacy", [("span_ledger_whole", False), ("span_ledger_legacy_whole", True)])
+@pytest.mark.parametrize("name,legacy", [("span_ledger", False), ("span_ledger_legacy", True)])
 def test_ledgers_count_whole_texts(spark, folder, name, legacy):
     got = {r[0]: tuple(r)[1:] for r in catalog.QUERIES[name](spark, folder).select("doc_id", "byte_limit", "target_tokens", "exact", "cross_or_cut", "start_inside", "end_inside", "max_covered", "du_tokens", "fraction_exact").collect()}
     assert got == {i: brute_ledger(t, legacy) for i, t in TEXTS.items()}
 
 
 def test_tokenizer_records_take_whole_texts(spark, folder):
-    got = sorted((r.doc_id, r.pos, r.byte_start, r.byte_end) for r in catalog.QUERIES["tokenizer_records_whole"](spark, folder).collect())
+    got = sorted((r.doc_id, r.pos, r.byte_start, r.byte_end) for r in catalog.QUERIES["tokenizer_records"](spark, folder).collect())
     assert got == [(i, k, a, b) for i, t in TEXTS.items() for k, (a, b) in enumerate(bounds(t, WORDS))]
 
 
 def test_hex_codes_whole_texts(spark, folder):
-    got = {(r.doc_id, r.variant): r.decoded for r in catalog.QUERIES["hex_codec_whole"](spark, folder).collect()}
+    got = {(r.doc_id, r.variant): r.decoded for r in catalog.QUERIES["hex_codec"](spark, folder).collect()}
     assert got == {(i, v): t.encode().hex().upper() if v < 2 else None for i, t in TEXTS.items() for v in range(4)}
 
 
 def test_base64_codes_whole_texts_of_any_padding(spark, folder):
     assert {base64.b64encode(t.encode()).count(b"=") for t in TEXTS.values()} == {0, 1, 2}
-    got = {(r.doc_id, r.variant): (r.decoded, r.error) for r in catalog.QUERIES["base64_strict_whole"](spark, folder).collect()}
+    got = {(r.doc_id, r.variant): (r.decoded, r.error) for r in catalog.QUERIES["base64_strict"](spark, folder).collect()}
     want = {}
     for i, t in TEXTS.items():
         good = (t.encode().hex().upper(), None) if t else (None, "empty")
@@ -65,7 +65,7 @@ def test_base64_codes_whole_texts_of_any_padding(spark, folder):
 
 
 def test_jsonl_holds_all_items(spark, folder):
-    got = sorted((r.pos, r.byte_start, r.byte_end, bytes.fromhex(r.bytes_hex)) for r in catalog.QUERIES["jsonl_roundtrip_all"](spark, folder).collect())
+    got = sorted((r.pos, r.byte_start, r.byte_end, bytes.fromhex(r.bytes_hex)) for r in catalog.QUERIES["jsonl_roundtrip"](spark, folder).collect())
     assert b"".join(r[3] for r in got) == "".join(TEXTS.values()).encode()
     whole = [p.encode() for t in TEXTS.values() for p in re.findall(WORDS, t)]
     ends = [sum(map(len, whole[: k + 1])) for k in range(len(whole))]
