@@ -91,7 +91,9 @@ def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
 
 def settle(rows: DataFrame, shards: int) -> DataFrame:
     """``rows`` with exact quotas (counts at most one apart) and gapless slots."""
-    ranked = numbered(rows.withColumn("_single", F.col("group_rows").isNull().cast("int")), ["shard", "_single", "grp", "doc_id"], "rank")
+    # short keys: the driver samples some of them for the range bounds
+    keyed = rows.withColumns({"_single": F.col("group_rows").isNull().cast("int"), "_group": F.xxhash64("grp")})
+    ranked = numbered(keyed, ["shard", "_single", "_group", "doc_id"], "rank")
     have = {r[0]: r[1] for r in ranked.groupBy("shard").count().collect()}
     have = [have.get(s, 0) for s in range(shards)]
     n = sum(have)
@@ -110,7 +112,7 @@ def settle(rows: DataFrame, shards: int) -> DataFrame:
     return out.withColumns({
         "slot": F.when(F.col("_stays"), F.col("_place")).otherwise(_entry(have, F.col("_to")) + F.col("_spare") - _entry(first, F.col("_to"))).cast("long"),
         "shard": F.when(F.col("_stays"), F.col("shard")).otherwise(F.col("_to")).cast("int"),
-    }).drop("_place", "_stays", "_spare", "_to", "_single", "rank", "group_rows")
+    }).drop("_place", "_stays", "_spare", "_to", "_single", "_group", "rank", "group_rows")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:

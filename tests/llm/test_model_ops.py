@@ -98,6 +98,8 @@ def test_spark_round_trip(spark, codec):
     assert got == {i: t or "" for i, t in enumerate(TEXTS)}
     assert all(r.round_trip and r.n_tokens == len(codec.peer.encode(TEXTS[r.doc_id] or "")) for r in P.summary(df).collect())
     assert P.encode(df.limit(0)).count() == 0
+    again = P.summary(df.unionByName(df).withColumn("n_odd", F.lit("clash"))).collect()  # each repeated row keeps its row
+    assert len(again) == 2 * len(TEXTS) and len({tuple(r) for r in again}) == len(TEXTS) and not any(r.n_odd for r in again)
 
 
 SAMPLE = {"en": "the and with house from that was night", "de": "der und mit haus von dass war nacht schön", "fr": "le et avec maison depuis que était nuit été", "es": "el y con casa desde que era noche año"}
