@@ -48,3 +48,25 @@ def id_of(b: Column) -> Column:
 def lengths(text: Column, pattern: str) -> Column:
     """Byte lengths of the pieces, as an array."""
     return F.transform(pieces(text, pattern), lambda p: F.octet_length(p))
+
+
+def from_records(records: DataFrame, stream: str) -> DataFrame:
+    """Token rows from native records: doc_id, pos, id, byte_start, byte_end, bytes_hex. Digits that are no hex give null bytes,
+    which no validation passes; other columns are ignored."""
+    from spanloom.functions.bytestrings import from_hex
+
+    own = [F.col(c).cast("bigint").alias(c) for c in ("pos", "id", "byte_start", "byte_end")]
+    return records.select("doc_id", F.lit(stream).alias("stream"), *own, from_hex(F.col("bytes_hex")).alias("bytes"))
+
+
+def from_loaded(loaded: DataFrame, stream: str) -> DataFrame:
+    """Token rows from columnar streams: doc_id and the arrays ids, parts, bounds (with a leading 0), as they stand.
+
+    The arrays are not checked here: ``validate.arrays_error`` does, and what is missing gives nulls.
+    """
+    part = lambda a, i: F.try_element_at(a, i + 1)
+    rows = loaded.select("doc_id", "ids", "bounds", F.posexplode("parts").alias("pos", "bytes"))
+    return rows.select(
+        "doc_id", F.lit(stream).alias("stream"), F.col("pos").cast("bigint").alias("pos"), part(F.col("ids"), F.col("pos")).alias("id"),
+        part(F.col("bounds"), F.col("pos")).alias("byte_start"), part(F.col("bounds"), F.col("pos") + 1).alias("byte_end"), "bytes",
+    )

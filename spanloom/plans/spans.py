@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.cli import MAX_BYTES
 from spanloom.functions import bytestrings as B
 from spanloom.operators import align, bridge, ledger, spans, validate
-from spanloom.operators.views import LEXEMES, WORDS, cap, id_of, lengths, pieces, tokens
+from spanloom.operators.views import LEXEMES, WORDS, cap, from_loaded, from_records, id_of, lengths, pieces, tokens
 from spanloom.plans.sql import VOCAB, aligned, stats, view, with_
 
 QUERIES, ORACLES = {}, {}
@@ -334,3 +334,27 @@ def id_narrowing(spark, sf_dir):
     forms = (k, F.lit((1 << 32) - 1).cast("bigint"), k + (1 << 32), -k - 1)
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), x.alias("id")) for i, x in enumerate(forms)])).alias("v"))
     return d.select("l_orderkey", "l_linenumber", "v.variant", validate.u32_ok(F.col("v.id")).alias("fits"))
+
+
+_ROWS = "SELECT doc_id, pos, id, byte_start, byte_end, lower(hex(encode(tok))) AS bytes_hex FROM d"
+
+
+@query(with_(view("d", "lexemes")) + _ROWS)
+def loaded_rows(spark, sf_dir):
+    """Columnar streams of all documents as token rows."""
+    from spanloom.functions.tokenizers import RegexTokenizer
+    from spanloom.operators.repair import du_state
+
+    s = du_state("raw", RegexTokenizer(LEXEMES), raw(docs(spark, sf_dir)), "s").select("doc_id", "s.*")
+    return from_loaded(s, "du").select("doc_id", "pos", "id", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex"))
+
+
+@query(with_(view("d", "lexemes")) + _ROWS)
+def native_records(spark, sf_dir):
+    """Snapshots' native spans of all documents, as records, to token rows."""
+    from spanloom.functions.tokenizers import RegexTokenizer
+    from spanloom.operators.repair import snapshot
+
+    tok = RegexTokenizer(LEXEMES)
+    r = snapshot(raw(docs(spark, sf_dir)).select("doc_id", F.col("raw").alias("prefix")), tok, tok).select("doc_id", F.posexplode("native_spans").alias("pos", "x")).select("doc_id", "pos", "x.*")
+    return from_records(r, "native").select("doc_id", "pos", "id", "byte_start", "byte_end", B.to_hex(F.col("bytes")).alias("bytes_hex"))
