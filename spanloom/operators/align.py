@@ -25,20 +25,21 @@ def align_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Both streams must be validated partitions of the same bytes (non-empty spans).
     """
-    total = "total"
-    ends = right.groupBy("doc_id").agg(F.max("byte_end").alias(total))  # the left may be a part of its stream
     none = F.lit(None).cast("bigint")
-    l_cols = [F.col("pos").alias("li"), F.col("id").alias("lid"), F.col("byte_start").alias("bs"), F.col("byte_end").alias("be")]
-    n_cols = [none.alias(c) for c in ("li", "lid", "bs", "be")]
-    start = left.select("doc_id", F.col("byte_start").alias("p"), F.lit(0).alias("c"), F.lit(1).alias("k"), *l_cols)
-    end = left.select("doc_id", F.col("byte_end").alias("p"), F.lit(0).alias("c"), F.lit(2).alias("k"), *l_cols)
-    marks = right.select("doc_id", F.col("byte_start").alias("p"), F.lit(1).alias("c"), F.lit(0).alias("k"), *n_cols)
-    close = ends.select("doc_id", F.col(total).alias("p"), F.lit(0).alias("c"), F.lit(3).alias("k"), *n_cols)
+
+    def events(rows: DataFrame, own: list[Column], starts: tuple[int, int], ends: tuple[int, int]) -> DataFrame:
+        """Two rows of each token, at its start and its end: c counts right starts, k tells left start, left end and right end."""
+        at = lambda p, c, k: F.struct(F.col(p).alias("p"), F.lit(c).alias("c"), F.lit(k).alias("k"))
+        both = F.explode(F.array(at("byte_start", *starts), at("byte_end", *ends))).alias("v")
+        return rows.select("doc_id", *[c.alias(n) for c, n in zip(own, ("li", "lid", "bs", "be"), strict=True)], both).select("doc_id", "v.*", "li", "lid", "bs", "be")
+
+    l = events(left, [F.col("pos"), F.col("id"), F.col("byte_start"), F.col("byte_end")], (0, 1), (0, 2))
+    r = events(right, [none] * 4, (1, 0), (0, 3))
     w = Window.partitionBy("doc_id").orderBy("p")
     seen = F.sum("c").over(w.rangeBetween(Window.unboundedPreceding, 0))
     at = F.sum("c").over(w.rangeBetween(0, 0))
     last = F.max(F.when(F.col("k") == 3, 1).otherwise(0)).over(w.rangeBetween(0, 0))
-    swept = start.unionByName(end).unionByName(marks).unionByName(close).withColumns({"seen": seen, "at": at, "last": last}).where("k IN (1, 2)")
+    swept = l.unionByName(r).withColumns({"seen": seen, "at": at, "last": last}).where("k IN (1, 2)")
     one = F.when(F.col("k") == 1, F.col("seen") - 1)
     two = F.when(F.col("k") == 2, F.col("seen") - F.col("at"))
     on = F.when(F.col("k") == 1, F.col("at") > 0)

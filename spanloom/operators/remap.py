@@ -123,7 +123,7 @@ def translate(views: DataFrame, vocab: DataFrame | list, target: int) -> DataFra
                 raise ValueError(f"lexeme cannot be mapped at its byte {at}: {x[:80]!r}")
             if len(known) >= KNOWN_RUNS:
                 known.clear()
-            known[x] = got = (len(ids), d.decode(np.array(ids, np.int64)))
+            known[x] = got = (len(ids), b"".join(map(d.table.__getitem__, ids)))
             return got
 
         for b in batches:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.bytestrings import sha256
+from spanloom.operators.columns import Parts
 
 REPORT = ["doc_id", "stream", "error_code", "error_pos", "detail"]
 
@@ -32,18 +33,21 @@ def same_bytes(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(r, "doc_id", "full").select("doc_id", F.coalesce((F.col("raw_len") == F.col("r_len")) & (F.col("raw_sha256") == F.col("r_sha")), F.lit(False)).alias("same_bytes"))
 
 
-def _first_error(raw: bytes, start: np.ndarray, end: np.ndarray, parts: list[bytes], pos: np.ndarray) -> tuple[str | None, int | None, int | None]:
-    """(code, pos, detail) of one stream's first error; whole arrays are compared before any single token is."""
+def _first_error(raw: bytes, start: np.ndarray, end: np.ndarray, built: memoryview, bounds: np.ndarray, pos: np.ndarray) -> tuple[str | None, int | None, int | None]:
+    """(code, pos, detail) of one stream's first error; whole arrays are compared before any single token is.
+
+    ``built``: the tokens' bytes, joined, and their ``bounds``.
+    """
     expected = np.concatenate([[0], end[:-1]])
     wrong = (start != expected) | (end <= start) | (end > len(raw))
     n = int(wrong.argmax()) if wrong.any() else len(start)
-    size = np.fromiter(map(len, parts[:n]), np.int64, n)
-    if (size != end[:n] - start[:n]).any() or b"".join(parts[:n]) != raw[: int(end[n - 1]) if n else 0]:
+    size = np.diff(bounds[: n + 1])
+    if (size != end[:n] - start[:n]).any() or built[: bounds[n]] != raw[: int(end[n - 1]) if n else 0]:
         for i in range(n):
-            here = raw[start[i] : end[i]]
-            if here != parts[i]:
-                m = min(len(here), len(parts[i]))
-                at = next((k for k in range(m) if here[k] != parts[i][k]), m)
+            here, part = raw[start[i] : end[i]], bytes(built[bounds[i] : bounds[i + 1]])
+            if here != part:
+                m = min(len(here), len(part))
+                at = next((k for k in range(m) if here[k] != part[k]), m)
                 return "bytes", int(pos[i]), at
     if n < len(start):
         by = int(start[n] - expected[n])
@@ -65,15 +69,13 @@ def token_errors(tokens: DataFrame, docs: DataFrame, streams: tuple[str, ...] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for raw, t in zip(b.column("raw"), b.column("t"), strict=True):
-                v = t.values
-                if v is None or not len(v):
-                    none = np.empty(0, np.int64)
-                    out.append(_first_error(raw.as_py() or b"", none, none, [], none))
-                else:
-                    col = lambda n: v.field(n).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                    out.append(_first_error(raw.as_py() or b"", col("byte_start"), col("byte_end"), v.field("bytes").to_pylist(), col("pos")))
+            rows, offsets = b.column("t"), b.column("t").offsets.to_numpy()
+            flat = {f: rows.values.field(f) for f in ("pos", "byte_start", "byte_end", "bytes")}
+            number = {f: flat[f].to_numpy(zero_copy_only=False) for f in ("pos", "byte_start", "byte_end")}
+            parts, out = Parts(pa.ListArray.from_arrays(rows.offsets, flat["bytes"])), []
+            for i, raw in enumerate(b.column("raw")):
+                own, (built, bounds) = slice(offsets[i], offsets[i + 1]), parts.row(i)
+                out.append(_first_error(raw.as_py() or b"", number["byte_start"][own], number["byte_end"][own], built, bounds, number["pos"][own]))
             cols = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stream"), *cols], REPORT)
 

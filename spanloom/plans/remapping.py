@@ -31,7 +31,7 @@ def lexeme_rows(df: DataFrame) -> DataFrame:
     return df.select(F.explode(pieces(F.col("text"), LEXEMES)).alias("tok")).select(F.encode("tok", "UTF-8").alias("bytes"))
 
 
-def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipped(spark: SparkSession, sf_dir: str) -> list[tuple[int, bytes]]:
     """256 single bytes, then the benchmark's lexemes of two to six bytes: every text can be represented.
 
     It is broadcast to segment with, so its size is bounded; it is sorted on the driver, and refused above the bound.
@@ -39,12 +39,11 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lexeme_rows(table(spark, sf_dir, "benchmark")).where(F.octet_length("bytes").between(2, 6)).distinct().limit(vocabulary.BROADCAST_ENTRIES + 1).collect()
     if len(words) > vocabulary.BROADCAST_ENTRIES:
         raise ValueError("the benchmark has too many lexemes for a broadcast vocabulary")
-    entries = [bytes([i]) for i in range(256)] + sorted(bytes(r.bytes) for r in words)
-    return spark.createDataFrame(list(enumerate(entries)), "id bigint, bytes binary")
+    return list(enumerate([bytes([i]) for i in range(256)] + sorted(bytes(r.bytes) for r in words)))
 
 
-def shipped(spark: SparkSession, sf_dir: str) -> list[tuple[int, bytes]]:
-    return [(r.id, bytes(r.bytes)) for r in vocab(spark, sf_dir).collect()]
+def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(shipped(spark, sf_dir), "id bigint, bytes binary")
 
 
 DICT = "dict AS (SELECT row_number() OVER (ORDER BY hex(encode(tok))) - 1 AS gid, lower(hex(encode(tok))) AS h, CAST(strlen(tok) AS BIGINT) AS n FROM (SELECT DISTINCT tok FROM d))"
@@ -69,7 +68,7 @@ def du_dictionary(spark, sf_dir):
 
 @query(with_(VOCAB, view("d", "lexemes"), DICT, "src AS (SELECT gid AS key, h FROM dict)", greedy("g", "src"), recursive=True) + "SELECT key AS gid, h AS bytes_hex, rtrim(ids, ',') AS target_ids, n AS n_ids FROM g_done")
 def lexeme_remap(spark, sf_dir):
-    m = remap.build_map(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), vocab(spark, sf_dir))
+    m = remap.build_map(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), shipped(spark, sf_dir))
     return m.select("gid", B.to_hex(F.col("bytes")).alias("bytes_hex"), F.array_join("target_ids", ",").alias("target_ids"), F.size("target_ids").cast("bigint").alias("n_ids"))
 
 
@@ -81,7 +80,7 @@ def lexeme_remap_join(spark, sf_dir):
 
 @query(with_(VOCAB, view("d", "lexemes"), DICT, "src AS (SELECT gid AS key, h FROM dict)", greedy("g", "src"), recursive=True) + "SELECT count(*) AS entries, CAST(sum(n) AS BIGINT) AS ids, CAST(4 * sum(n) AS BIGINT) AS payload_bytes, CAST(8 * (count(*) + 1) + 4 * sum(n) AS BIGINT) AS map_bytes FROM g_done")
 def csr_accounting(spark, sf_dir):
-    return remap.map_size(remap.build_map(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), vocab(spark, sf_dir)))
+    return remap.map_size(remap.build_map(vocabulary.dictionary(lexeme_rows(docs(spark, sf_dir))), shipped(spark, sf_dir)))
 
 
 def stream_of(spark, rows: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def remap_summary(spark, sf_dir):
        + "SELECT doc_id AS item_id, count(*) AS positions, CAST(sum(g_done.n) AS BIGINT) AS emitted, CAST(sum(d.n) AS BIGINT) AS du_bytes, count(DISTINCT tok) AS distinct_gids, any_value(sha256(text)) AS du_sha256, any_value(sha256(text)) AS target_sha256 FROM d JOIN g_done ON g_done.key = lower(hex(encode(tok))) JOIN benchmark ON item_id = doc_id GROUP BY doc_id")
 def remap_summary_rows(spark, sf_dir):
     """The summary from rows: a numbered dictionary, its map, and the stream of its gids, folded in order."""
-    d, v = items(spark, sf_dir), vocab(spark, sf_dir)
+    d, v = items(spark, sf_dir), shipped(spark, sf_dir)
     words = vocabulary.dictionary(lexeme_rows(d))
     out = remap.summary(stream_of(spark, d, words), remap.build_map(words, v), v, 64)
     return out.select(F.col("doc_id").alias("item_id"), "positions", "emitted", "du_bytes", "distinct_gids", "du_sha256", "target_sha256")
@@ -116,7 +115,7 @@ def remap_summary_rows(spark, sf_dir):
 def remap_expand(spark, sf_dir):
     d = items(spark, sf_dir)
     words = vocabulary.dictionary(lexeme_rows(d))
-    return remap.expand(stream_of(spark, d, words), remap.build_map(words, vocab(spark, sf_dir))).withColumnRenamed("doc_id", "item_id")
+    return remap.expand(stream_of(spark, d, words), remap.build_map(words, shipped(spark, sf_dir))).withColumnRenamed("doc_id", "item_id")
 
 
 @query("SELECT doc_id, doc_id % 7 <> 3 AS exact, sha256(text) AS target_sha256, CAST(strlen(text) AS BIGINT) AS target_bytes FROM documents WHERE text <> ''")
