@@ -217,3 +217,20 @@ def test_sharding_of_null_and_repeated_ids(spark):
         assert sorted((x.doc_id is None, x.size) for x in got) == sorted((i is None, len(t or "") + 1) for i, t in rows)
         by = {s: sorted(x.slot for x in got if x.shard == s) for s in range(16)}
         assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(v == list(range(len(v))) for v in by.values())
+
+
+def test_row_keys_are_unique_whatever_the_frame(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spanloom.llm.common import row_keyed
+
+    spark.range(20).select("id", F.lit("t").alias("text")).repartition(3).write.parquet(f"{tmp_path}/p")
+    spark.range(20).select("id", F.lit("t").alias("text")).write.json(f"{tmp_path}/j")
+    rows = spark.read.parquet(f"{tmp_path}/p")
+    twice = rows.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    frames = [(rows, 20), (rows.where("id > 4").select("id"), 15), (twice, 40), (rows.join(rows.select("id").withColumnRenamed("id", "j").limit(2), F.col("j") >= 0), 40), (rows.union(rows), 40), (spark.read.json(f"{tmp_path}/j"), 20), (spark.range(5), 5), (rows.withColumn("_metadata", F.lit(1)), 20)]
+    for i, (df, n) in enumerate(frames):
+        keyed = row_keyed(df, "key")
+        first, again = sorted(map(str, keyed.collect())), sorted(map(str, keyed.select(*keyed.columns).collect()))
+        assert first == again and keyed.select("key").distinct().count() == n, i
+        assert ("file:" in str(first[0])) == (i < 2), i
