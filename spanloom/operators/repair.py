@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.tokenizers import Tokenizer, parts_of
+from spanloom.functions.tokenizers import Ids, Tokenizer, parts_of
 from spanloom.operators.columns import Numbers, Parts
 from spanloom.operators.validate import arrays_error, u32_ok
 from spanloom.schema import SNAPSHOT, extended
@@ -390,7 +390,8 @@ def repair_snapshots(rows: DataFrame, tokenizer: Tokenizer, *, fixed_drop: int |
     checked = rows.withColumn("_delta_error", arrays_error(state["ids"], state["parts"], state["bounds"]))
 
     def one(tok, s: _Snapshot, parts: list[bytes], bounds: list[int], delta: bytes, built: bytes) -> tuple[Search, list[int]]:
-        ids, ends = s.ids.tolist(), s.ends.tolist()
+        starts, ends = s.starts.tolist(), s.ends.tolist()
+        ids = Ids(s.ids.tolist(), [s.prefix[x:y] for x, y in zip(starts, ends, strict=True)])  # the validated spans tell pieces of equal ids apart
         oracle = tok.encode(s.prefix + delta)
         own = State(parts, bounds)
         build = lambda k: candidate_du(tok, ids, ends, s.size, own, built, k)
