@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+SLICE_BYTES = 2 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], *columns: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut into rows that hold about ``most`` bytes in their (string or binary) ``columns``, one row at least.
+
+    What is made of a row is many times its text, so a batch of thousands of rows must not be in memory at once.
+    """
+    most = SLICE_BYTES if most is None else most
+    for b in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        ends, at = np.cumsum(sizes), 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 class Parts:

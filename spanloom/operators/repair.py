@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.tokenizers import Ids, Tokenizer, parts_of
-from spanloom.operators.columns import Numbers, Parts
+from spanloom.operators.columns import Numbers, Parts, sliced
 from spanloom.operators.validate import arrays_error, u32_ok
 from spanloom.schema import SNAPSHOT, extended
 
@@ -172,7 +173,7 @@ def repair(rows: DataFrame, tokenizer: Tokenizer, *, version: int = 2, fixed_dro
         return _search(tok, prefix, tok.encode(prefix), None, delta, oracle, version, fixed_drop, max_drop), oracle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "prefix"):
             got = [one(p.as_py() or b"", d.as_py() or b"") for p, d in zip(b.column("prefix"), b.column("delta"), strict=True)]
             found = [s.found for s, _ in got]
             cols = [pa.array([f and f.ids for f in found], pa.list_(pa.int64()))]
@@ -264,7 +265,7 @@ def du_state(column: str, tokenizer: Tokenizer, rows: DataFrame, name: str) -> D
     given = rows.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, column):
             states = [_state(given.value, v.as_py() or b"") for v in b.column(column)]
             yield pa.RecordBatch.from_arrays([*b.columns, _state_column(states)], [*b.schema.names, name])
 
@@ -285,25 +286,26 @@ def _state_column(states: list[tuple]) -> pa.StructArray:
 def snapshot(rows: DataFrame, native: Tokenizer, du: Tokenizer) -> DataFrame:
     """Snapshot table of ``rows`` (doc_id, prefix): native ids and spans, and the DU state (ids, parts, bounds); map-only.
 
-    A native id that does not fit 32 bits fails the query.
+    Other columns of ``rows`` stay behind the snapshot's, so nothing has to be joined again. A native id that does not fit 32 bits fails the query.
     """
     given = rows.sparkSession.sparkContext.broadcast((native, du))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, d = given.value
-        for b in batches:
+        for b in sliced(batches, "prefix"):
             raws = [v.as_py() or b"" for v in b.column("prefix")]
             own = [_state(a, r) for r in raws]
             flat = lambda i, cut=slice(None): np.array([x for s in own for x in s[i][cut]], np.int64)  # noqa: B023, E731
             spans = pa.StructArray.from_arrays([pa.array(flat(0)), pa.array(flat(2, slice(-1))), pa.array(flat(2, slice(1, None))), pa.array([p.hex() for s in own for p in s[1]], pa.string())], fields=list(_SPAN))
             ids = [s[0] for s in own]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([len(r) for r in raws], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]), _lists(ids, pa.int64()), _lists(ids, _SPAN, spans), _state_column([_state(d, r) for r in raws])],
-                [*b.schema.names, "prefix_len", "prefix_sha256", "native_ids", "native_spans", "du_state"],
+                [*b.columns[:2], pa.array([len(r) for r in raws], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]), _lists(ids, pa.int64()), _lists(ids, _SPAN, spans), _state_column([_state(d, r) for r in raws]), *b.columns[2:]],
+                ["doc_id", "prefix", "prefix_len", "prefix_sha256", "native_ids", "native_spans", "du_state", *b.schema.names[2:]],
             )
 
     wide = F.exists("native_ids", lambda x: ~u32_ok(x))
-    out = rows.select("doc_id", "prefix").mapInArrow(run, SNAPSHOT)
+    more = [f for f in rows.schema.fields if f.name not in ("doc_id", "prefix")]
+    out = rows.select("doc_id", "prefix", *[f.name for f in more]).mapInArrow(run, T.StructType([*T.StructType.fromDDL(SNAPSHOT).fields, *more]))
     return out.withColumn("native_ids", F.when(wide, F.raise_error(F.lit("a native id does not fit 32 bits")).cast("array<bigint>")).otherwise(F.col("native_ids")))
 
 
@@ -371,7 +373,7 @@ def snapshot_errors(rows: DataFrame) -> DataFrame:
     kept = [c for c in rows.columns if c not in used]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "prefix"):
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array([s.fault() for s in _snapshots(b)], pa.string())], [*kept, "error"])
 
     return rows.mapInArrow(run, extended(rows.select(*kept).schema, "error string"))
@@ -399,7 +401,7 @@ def repair_snapshots(rows: DataFrame, tokenizer: Tokenizer, *, fixed_drop: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = shared.value
-        for b in batches:
+        for b in sliced(batches, "prefix"):
             out, du, delta_parts = [], b.column("du_state"), Parts(b.column("delta_state").field("parts"))
             parts, bounds = du.field("parts"), Numbers(du.field("bounds"))
             for i, (s, delta, wrong) in enumerate(zip(_snapshots(b), b.column("delta").to_pylist(), b.column("_delta_error").to_pylist(), strict=True)):

@@ -87,8 +87,7 @@ def repair_du_aware(spark, sf_dir):
     """Stored, validated snapshots with a DU state, deltas from theirs, and the gates of a receipt."""
     a = repair.appends(conversations(spark, sf_dir)).where("octet_length(prefix) > 0").withColumn("doc_id", F.xxhash64("conv_id", "turn"))
     native, du, m = RegexTokenizer(WORDS), RegexTokenizer(LEXEMES), F.col("turn") % 7
-    s = repair.snapshot(a.select("doc_id", "prefix"), native, du).join(a.drop("prefix"), "doc_id")
-    s, state = repair.du_state("delta", du, s, "delta_state"), F.col("delta_state")
+    s, state = repair.du_state("delta", du, repair.snapshot(a, native, du), "delta_state"), F.col("delta_state")
     more = F.struct(state["ids"].alias("ids"), state["parts"].alias("parts"), F.concat(state["bounds"], F.array(F.lit(1).cast("bigint"))).alias("bounds"))
     s = s.withColumns({"prefix_sha256": F.when(m == 3, "0").otherwise(F.col("prefix_sha256")), "delta_state": F.when(m == 4, more).otherwise(state), "delta": F.when(m == 5, F.concat("delta", F.unhex(F.lit("21")))).otherwise(F.col("delta"))})
     r = repair.repair_snapshots(scratch.written(s, "append-snapshots"), native).withColumn("gate", repair.gates())

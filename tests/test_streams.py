@@ -409,7 +409,7 @@ def test_stored_snapshots_with_pieces_that_share_an_id(spark):
     a, b = clashing_words()
     tok = RegexTokenizer(LEXEMES)
     d = spark.createDataFrame([(1, a + b" " + b, b" more")], "doc_id bigint, prefix binary, delta binary")
-    s = repair.snapshot(d, tok, tok).join(d.drop("prefix"), "doc_id")
+    s = repair.snapshot(d, tok, tok)
     r = repair.repair_snapshots(repair.du_state("delta", tok, s, "delta_state"), tok).withColumn("gate", repair.gates()).first()
     assert (r.exact, r.decode_exact, r.gate, r.drop) == (True, True, None, 0)
 
@@ -433,3 +433,30 @@ def test_the_tokenizer_forgets(monkeypatch):
     t = RegexTokenizer(WORDS)
     for i in range(100):
         assert t.decode(t.encode(b"w%d x%d" % (i, i))) == b"w%d x%d" % (i, i) and len(t.known) <= 12 >= len(t.seen)
+
+
+def test_snapshots_keep_other_columns_and_pass_in_slices(spark, monkeypatch):
+    from spanloom.operators import columns
+
+    rows = [(i, b"word %d  x" % i * (i % 3), i % 5, b"d%d" % i) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, prefix binary, turn int, delta binary")
+    monkeypatch.setattr(columns, "SLICE_BYTES", 20)
+    tok = RegexTokenizer(LEXEMES)
+    s = repair.du_state("delta", tok, repair.snapshot(d, tok, tok), "delta_state")
+    assert sorted((r.doc_id, bytes(r.prefix), r.turn, bytes(r.delta)) for r in s.collect()) == rows
+    assert {r.error for r in repair.snapshot_errors(s.where("prefix <> X''")).collect()} == {None}
+    assert s.where("prefix <> X''").count() == repair.repair_snapshots(s, tok).where("exact").count()
+
+
+def test_sliced_batches_lose_nothing():
+    import pyarrow as pa
+
+    from spanloom.operators.columns import Numbers, Parts, sliced
+
+    texts = [b"a" * n for n in (0, 5, 50, 1, 1, 1, 0, 9)] + [None]
+    lists = [[t or b"", b"x"] for t in texts]
+    b = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array([[len(x)] for x, _ in lists])], ["t", "l", "n"])
+    got = list(sliced(iter([b]), "t", most=6))
+    assert [r for g in got for r in g.to_pylist()] == b.to_pylist() and max(g.num_rows for g in got) < 6
+    assert [bytes(Parts(g.column("l")).row(i)[0]) for g in got for i in range(g.num_rows)] == [x + y for x, y in lists]
+    assert [Numbers(g.column("n")).row(i).tolist() for g in got for i in range(g.num_rows)] == [[len(x)] for x, _ in lists]
