@@ -1,7 +1,7 @@
 """Span alignment of two token streams over the same bytes, and its boundary statistics.
 
 ``align_tokens`` works on token rows: boundary events of both streams are swept once per document with running window sums,
-so the cost is linear where an overlap join would be quadratic in a document's tokens. ``length_stats`` and
+so the cost is linear where an overlap join would be quadratic in a document's tokens. ``align_lengths``, ``length_stats`` and
 ``length_spans`` work on per-document arrays of piece lengths and are map-only.
 """
 
@@ -143,3 +143,23 @@ def length_spans(views: DataFrame, left: str, right: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int64)), *cols], [*kept, "pos", "lo", "hi", "starts_on", "ends_on"])
 
     return views.mapInArrow(run, extended(views.select(*kept).schema, "pos bigint, lo bigint, hi bigint, starts_on boolean, ends_on boolean"))
+
+
+def align_lengths(views: DataFrame, ids: str, left: str, right: str) -> DataFrame:
+    """``align_tokens`` from one row per document: doc_id, the left ids, and two arrays of piece lengths; map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, own = Numbers(b.column(left)), Numbers(b.column(right)), Numbers(b.column(ids))
+            for i in range(0, b.num_rows, 64):
+                rows = range(i, min(i + 64, b.num_rows))
+                bounds = [x.bounds(j) for j in rows]
+                found = [match(a, y.bounds(j)) for a, j in zip(bounds, rows, strict=True)]
+                sizes = [len(f[0]) for f in found]
+                r0, r1, s, e = (np.concatenate([f[k] for f in found]) for k in range(4))
+                cols = [np.concatenate([np.arange(n) for n in sizes]), np.concatenate([own.row(j) for j in rows]), np.concatenate([a[:-1] for a in bounds]), np.concatenate([a[1:] for a in bounds]), r0, r1, r1 - r0]
+                docs = b.column("doc_id").take(pa.array(np.repeat(np.arange(i, i + len(found)), sizes)))
+                yield pa.RecordBatch.from_arrays([docs, *[pa.array(c.astype(np.int64)) for c in cols], pa.array(s), pa.array(e)], ALIGNED)
+
+    used = views.select("doc_id", ids, left, right)
+    return used.mapInArrow(run, extended(used.select("doc_id").schema, ", ".join(f"{c} bigint" for c in ALIGNED[1:8]) + ", starts_on boolean, ends_on boolean"))

@@ -74,3 +74,25 @@ def crossing_samples(du: DataFrame, target: DataFrame, most: int = 80, context:
         "doc_id", "sample", "left_index", "byte_start", "byte_end", "right_start", "right_end",
         F.greatest(F.col("right_start") - context, F.lit(0)).cast("bigint").alias("context_start"), F.least(F.col("right_end") + context, F.col("n_du")).cast("bigint").alias("context_end"),
     )
+
+
+def crossing_lengths(views: DataFrame, most: int = 80, context: int = 3) -> DataFrame:
+    """``crossing_samples`` from one row per document: doc_id and the arrays of byte lengths du and target; map-only."""
+    names = ["sample", "left_index", "byte_start", "byte_end", "right_start", "right_end", "context_start", "context_end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            du, target, out, sizes = Numbers(b.column("du")), Numbers(b.column("target")), [np.zeros((0, len(names)), np.int64)], []
+            for i in range(b.num_rows):
+                x, y = du.bounds(i), target.bounds(i)
+                r0, r1, s, e = match(y, x)
+                at = np.flatnonzero(~(s & e))[:most]
+                lo, hi = r0[at], r1[at]
+                out.append(np.stack([np.arange(1, len(at) + 1), at, y[at], y[at + 1], lo, hi, np.maximum(lo - context, 0), np.minimum(hi + context, len(x) - 1)], axis=1))
+                sizes.append(len(at))
+            rows = np.concatenate(out)
+            docs = b.column("doc_id").take(pa.array(np.repeat(np.arange(b.num_rows), sizes)))
+            yield pa.RecordBatch.from_arrays([docs, *[pa.array(rows[:, j]) for j in range(len(names))]], ["doc_id", *names])
+
+    own = views.select("doc_id", "du", "target")
+    return own.mapInArrow(run, extended(own.select("doc_id").schema, ", ".join(f"{n} bigint" for n in names)))

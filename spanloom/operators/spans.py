@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.columns import Parts
+from spanloom.schema import extended
+
 KEY = ["doc_id", "stream"]
 
 
@@ -45,6 +52,40 @@ def reconstruct_range(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
     return size.join(ranges, "doc_id").join(got, KEY, "left").withColumn("bytes", F.when(inside, F.coalesce("bytes", empty))).select(*KEY, "lo", "hi", "bytes")
 
 
+def reconstruct_parts(views: DataFrame, column: str) -> DataFrame:
+    """``reconstruct`` from one row per document: the other columns of ``views``, and bytes, its array ``column`` joined; map-only."""
+    kept = [c for c in views.columns if c != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = Parts(b.column(column))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array([bytes(p.row(i)[0]) for i in range(b.num_rows)], pa.binary())], [*kept, "bytes"])
+
+    return views.select(*kept, column).mapInArrow(run, extended(views.select(*kept).schema, "bytes binary"))
+
+
+def reconstruct_range_parts(views: DataFrame, column: str) -> DataFrame:
+    """``reconstruct_range`` from one row per document: ``views`` has lo, hi and the array ``column`` of parts; map-only.
+
+    Only the parts that meet the range are joined, found by binary search in their bounds.
+    """
+    kept = [c for c in views.columns if c != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, out = Parts(b.column(column)), []
+            for i, (lo, hi) in enumerate(zip(b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True)):
+                data, bounds = p.row(i)
+                if lo is None or hi is None or not 0 <= lo <= hi <= bounds[-1]:
+                    out.append(None)
+                    continue
+                first, last = int(np.searchsorted(bounds, lo, "right")) - 1, int(np.searchsorted(bounds, hi, "left"))
+                out.append(bytes(data[bounds[first] : bounds[last]][lo - int(bounds[first]) :][: hi - lo]))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(out, pa.binary())], [*kept, "bytes"])
+
+    return views.select(*kept, column).mapInArrow(run, extended(views.select(*kept).schema, "bytes binary"))
+
+
 def prefix_cut(tokens: DataFrame, max_bytes: int) -> DataFrame:
     """Tokens up to the one that makes the running bytes reach ``max_bytes``; the first token always stays."""
     return tokens.where((F.col("byte_start") < max_bytes) | (F.col("pos") == 0))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.bytestrings import sha256
-from spanloom.operators.columns import Parts
+from spanloom.operators.columns import Parts, sliced
 
 REPORT = ["doc_id", "stream", "error_code", "error_pos", "detail"]
 
@@ -67,8 +67,14 @@ def token_errors(tokens: DataFrame, docs: DataFrame, streams: tuple[str, ...] |
     every = docs.select("doc_id", "raw", F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")).alias("stream"))
     own = tokens.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.struct("pos", "byte_start", "byte_end", "bytes"))).alias("t"))
 
+    return gathered_errors(every.join(own, ["doc_id", "stream"], "left"))
+
+
+def gathered_errors(rows: DataFrame) -> DataFrame:
+    """``token_errors`` of streams that are gathered already: doc_id, stream, raw and t (``views.gathered``); map-only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "raw"):
             rows, offsets = b.column("t"), b.column("t").offsets.to_numpy()
             flat = {f: rows.values.field(f) for f in ("pos", "byte_start", "byte_end", "bytes")}
             number = {f: flat[f].to_numpy(zero_copy_only=False) for f in ("pos", "byte_start", "byte_end")}
@@ -79,7 +85,7 @@ def token_errors(tokens: DataFrame, docs: DataFrame, streams: tuple[str, ...] |
             cols = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stream"), *cols], REPORT)
 
-    return every.join(own, ["doc_id", "stream"], "left").select("doc_id", "stream", "raw", "t").mapInArrow(run, "doc_id bigint, stream string, error_code string, error_pos bigint, detail bigint")
+    return rows.select("doc_id", "stream", "raw", "t").mapInArrow(run, "doc_id bigint, stream string, error_code string, error_pos bigint, detail bigint")
 
 
 def strict(report: DataFrame) -> DataFrame:

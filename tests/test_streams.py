@@ -460,3 +460,31 @@ def test_sliced_batches_lose_nothing():
     assert [r for g in got for r in g.to_pylist()] == b.to_pylist() and max(g.num_rows for g in got) < 6
     assert [bytes(Parts(g.column("l")).row(i)[0]) for g in got for i in range(g.num_rows)] == [x + y for x, y in lists]
     assert [Numbers(g.column("n")).row(i).tolist() for g in got for i in range(g.num_rows)] == [[len(x)] for x, _ in lists]
+
+
+TEXTS = [(1, "Zé wörd  a\n\tlong stony"), (2, ""), (3, None), (4, "x"), (5, " é世 " * 40), (6, "ab cd")]
+
+
+def test_map_only_forms_equal_token_rows(spark):
+    """Operators on one row per document give what those on token rows give, without an exchange."""
+    from spanloom.operators.views import cap, gathered, id_of, lengths, parts, tokens
+
+    d = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    raw, text = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.col("text")
+    t = {n: tokens(d, "doc_id", p, n) for n, p in (("source", WORDS), ("du", LEXEMES), ("target", cap(5)))}
+    rows = lambda f: sorted((tuple(r) for r in f.collect()), key=str)
+    views = d.select("doc_id", F.transform(parts(text, WORDS), id_of).alias("ids"), lengths(text, WORDS).alias("source"), lengths(text, LEXEMES).alias("du"), lengths(text, cap(5)).alias("target"))
+    pairs = [(align.align_tokens(t["source"], t["du"]), align.align_lengths(views, "ids", "source", "du")), (ledger.crossing_samples(t["du"], t["target"], 5), ledger.crossing_lengths(views, 5))]
+    bytes_ = d.where("text <> ''").select("doc_id", F.lit("du").alias("stream"), parts(text, LEXEMES).alias("du"))
+    pairs.append((spans.reconstruct(t["du"]), spans.reconstruct_parts(bytes_, "du")))
+    for lo, hi in ((0, 0), (1, 4), (3, 40), (0, 1), (2, 1)):
+        ranges = d.select("doc_id", F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi"))
+        pairs.append((spans.reconstruct_range(t["du"], ranges), spans.reconstruct_range_parts(bytes_.join(F.broadcast(ranges), "doc_id").select("doc_id", "stream", "lo", "hi", "du"), "du")))
+    own = d.select("doc_id", "text", raw.alias("raw"))
+    short = F.when(F.col("doc_id") == 5, F.slice("t", F.lit(1), F.lit(9))).otherwise(F.col("t"))
+    spoilt = t["source"].where("doc_id <> 5 OR pos < 9")
+    pairs.append((validate.token_errors(spoilt, own.select("doc_id", "raw"), ("source",)), validate.gathered_errors(gathered(own, "doc_id", WORDS, "source").withColumn("t", short))))
+    for x, y in pairs:
+        assert rows(x) == rows(y.select(*x.columns)) and rows(x)
+    for f in [t["du"], *[y for _, y in (pairs[0], pairs[1], pairs[2], pairs[-1])]]:
+        assert "Exchange" not in f._jdf.queryExecution().executedPlan().toString()
