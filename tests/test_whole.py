@@ -70,3 +70,30 @@ def test_jsonl_holds_all_items(spark, folder):
     whole = [p.encode() for t in TEXTS.values() for p in re.findall(WORDS, t)]
     ends = [sum(map(len, whole[: k + 1])) for k in range(len(whole))]
     assert got == [(k, e - len(p), e, p) for k, (p, e) in enumerate(zip(whole, ends, strict=True))]
+
+
+def test_corrupted_bytes_differ_even_from_a_nul(spark, tmp_path):
+    """The third token's second byte is spoilt, whatever it was."""
+    spark.createDataFrame([(6, "a b \x00"), (14, "a b \x00c"), (22, "a b c"), (30, "a b é")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[2:] for r in catalog.QUERIES["validate_corrupted"](spark, str(tmp_path)).collect()}
+    assert got == {i: ("bytes", 2, 1) for i in (6, 14, 22, 30)}
+
+
+def test_jsonl_moves_no_token_rows(spark, folder, monkeypatch):
+    """Documents are put in order, not tokens; the lines are written packed, in the order of the stream."""
+    from spanloom.sources import files, sinks
+
+    seen = {}
+
+    def write(tokens, path, *args, **more):
+        seen["plan"], seen["path"] = tokens._jdf.queryExecution().optimizedPlan().toString(), path
+        return own(tokens, path, *args, **more)
+
+    own = sinks.write_jsonl
+    monkeypatch.setattr(sinks, "write_jsonl", write)
+    n = catalog.QUERIES["jsonl_roundtrip"](spark, folder).count()
+    assert n == sum(len(re.findall(WORDS, t)) for t in TEXTS.values())
+    above = seen["plan"][: seen["plan"].index("Generate")]
+    assert "Sort" not in above and "Repartition" not in above
+    raw = b"".join(bytes(r.bytes) for r in files.token_jsonl(spark, seen["path"]).orderBy("pos").collect())
+    assert raw == "".join(TEXTS.values()).encode()
