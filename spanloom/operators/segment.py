@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.columns import Numbers
+from spanloom.operators.columns import Numbers, sliced
 from spanloom.operators.vocabulary import given, usable
 from spanloom.schema import extended
 
 
 _RUNS = re.compile(rb"[ \t\n\r]+|[^ \t\n\r]+")
-KNOWN_RUNS, KNOWN_BYTES = 500_000, 64
+KNOWN_RUNS, KNOWN_COUNTS, KNOWN_BYTES = 100_000, 400_000, 64
 DENSE_IDS, GATHERED = 1 << 25, 1 << 20
 
 
@@ -41,6 +41,7 @@ class Pieces:
         self.cuttable = all(len(_RUNS.findall(b)) == 1 for b in self.ids)
         self.known: dict[bytes, bytes] = {}
         self.least: dict[bytes, list[int] | None] = {}
+        self.lane: dict[bytes, tuple[int, int]] = {}
 
     def greedy(self, s: bytes) -> tuple[list[int] | None, int | None]:
         """(ids, None), or (None, the first offset that no piece matches)."""
@@ -68,6 +69,9 @@ class Pieces:
             return (None, at) if ids is None else (struct.pack(f"<{len(ids)}q", *ids), None)
         runs = _RUNS.findall(s)
         known = self.known
+        if len(runs) == 1 and runs[0] not in known:  # a lexeme by itself, as dictionaries hold each once: nothing to keep
+            ids, at = self.greedy(s)
+            return (None, at) if ids is None else (struct.pack(f"<{len(ids)}q", *ids), None)
         try:
             return b"".join(map(known.__getitem__, runs)), None
         except KeyError:
@@ -107,6 +111,48 @@ class Pieces:
             out += got
         return out
 
+    def counts(self, s: bytes, lexemes: list[bytes]) -> tuple[int, int, int]:
+        """Ids of three lanes: greedy over each lexeme, greedy over the whole, minimum; 0 where there is no segmentation.
+
+        Where no piece crosses from a run of white space into other bytes, the counts of each distinct run are found once.
+        """
+        if not self.cuttable:
+            return sum([len(self.packed(x)[0] or b"") // 8 for x in lexemes]), len(self.packed(s)[0] or b"") // 8, len(self.minimum(s) or ())
+        runs = _RUNS.findall(s)
+        got = [self.lane.get(r) or self._lane(r) for r in runs]
+        greedy, least = [g for g, _ in got], [m for _, m in got]
+        stream = 0 if -1 in greedy else sum(greedy)
+        if lexemes == runs:
+            per = stream if -1 not in greedy else sum([g for g in greedy if g > 0])
+        else:
+            per = sum([len(self.packed(x)[0] or b"") // 8 for x in lexemes])
+        return per, stream, 0 if -1 in least else sum(least)
+
+    def _lane(self, r: bytes) -> tuple[int, int]:
+        """(greedy ids, least ids) of one run, -1 for none."""
+        if len(self.lane) > KNOWN_COUNTS:
+            self.lane.clear()
+        ids = self.greedy(r)[0]
+        got = -1 if ids is None else len(ids), self._least(r)
+        if len(r) <= KNOWN_BYTES:
+            self.lane[r] = got
+        return got
+
+    def _least(self, s: bytes) -> int:
+        """The size of ``_minimum``, -1 for none."""
+        n, own, sizes = len(s), self.ids, self.sizes
+        none = n + 1
+        cost = [0] + [none] * n
+        for i in range(n):
+            c = cost[i] + 1
+            if c > n:
+                continue
+            for k in sizes[s[i]]:
+                j = i + k
+                if j <= n and c < cost[j] and s[i:j] in own:
+                    cost[j] = c
+        return -1 if cost[n] == none else cost[n]
+
     def _minimum(self, s: bytes) -> list[int] | None:
         n = len(s)
         cost, back = [0] + [n + 1] * n, [(-1, -1)] * (n + 1)
@@ -145,7 +191,7 @@ def segment(rows: DataFrame, vocab: DataFrame | list, method: str = "greedy", co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(shared)
-        for b in batches:
+        for b in sliced(batches, column):
             got, failed = [], []
             for v in b.column(column):
                 s, at = v.as_py(), None
@@ -273,7 +319,7 @@ def lanes(rows: DataFrame, vocab: DataFrame | list, pattern_lexemes, column: str
             out = np.zeros((b.num_rows, 3), np.int64)
             for i, v in enumerate(b.column(column)):
                 s = v.as_py() or b""
-                out[i] = sum([len(p.packed(x)[0] or b"") // 8 for x in pattern_lexemes(s)]), len(p.packed(s)[0] or b"") // 8, len(p.minimum(s) or ())
+                out[i] = p.counts(s, pattern_lexemes(s))
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[:, j]) for j in range(3)]], [*b.schema.names, "per_lexeme", "stream", "minimum"])
 
     return rows.mapInArrow(run, extended(rows.schema, "per_lexeme bigint, stream bigint, minimum bigint"))

@@ -488,3 +488,25 @@ def test_map_only_forms_equal_token_rows(spark):
         assert rows(x) == rows(y.select(*x.columns)) and rows(x)
     for f in [t["du"], *[y for _, y in (pairs[0], pairs[1], pairs[2], pairs[-1])]]:
         assert "Exchange" not in f._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lane_counts_equal_single_searches():
+    import random
+
+    r = random.Random(3)
+    vocab = list(enumerate([b"a", b"b", b" ", b"ab", b"aba", b"bb", b"  ", b"abab"]))
+    for own in (vocab, [*vocab, (9, b"b a")]):
+        for lacking in (own, [x for x in own if x[1] != b"b"]):
+            p, q = segment.Pieces(lacking), segment.Pieces(lacking)
+            for _ in range(200):
+                s = bytes(r.choices(b"ab \n", (4, 4, 2, 0.1), k=r.randrange(12)))
+                for lexemes in ([x for x in segment._RUNS.findall(s)], [s[:3], s[3:]]):
+                    greedy = lambda x: len(q.greedy(x)[0] or ())  # noqa: B023, E731
+                    assert p.counts(s, lexemes) == (sum(map(greedy, lexemes)), greedy(s), len(q._minimum(s) or ()))
+
+
+def test_single_lexemes_are_not_kept():
+    """Distinct lexemes of a dictionary come once each, so a worker keeps none of them."""
+    p = segment.Pieces([(i, bytes([i])) for i in range(256)])
+    assert [len(p.packed(b"w%d" % i)[0]) for i in range(1000)] == [8 * len(b"w%d" % i) for i in range(1000)] and not p.known
+    assert len(p.packed(b"two words two")[0]) == 8 * 13 and set(p.known) == {b"two", b" ", b"words"}
