@@ -1,6 +1,6 @@
 """Append repair: keep a prefix's token ids, drop the last k, tokenize only the tail with the appended bytes, and splice.
 
-Rows are independent, so every operator here is map-only (``repair_turns`` gathers a conversation's turns first). The full
+Rows are independent, so every operator here is map-only (``repair_turns`` brings a conversation's turns together first). The full
 tokenization (the oracle) is only ever compared with; no candidate is built from it, and a full window is never tokenized in
 its place: what cannot be repaired carries a reason.
 
@@ -19,6 +19,7 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,7 @@ def search(build, oracle: list[int] | None, drops: range) -> Search:
 
 
 def ends_of(tok: Tokenizer, ids: list[int]) -> list[int]:
-    return np.cumsum([len(p) for p in parts_of(tok, ids)], dtype=np.int64).tolist()
+    return list(accumulate(map(len, parts_of(tok, ids))))
 
 
 def _search(tok, prefix: bytes, ids: list[int], ends: list[int] | None, delta: bytes, oracle: list[int], version: int, fixed_drop: int | None, max_drop: int) -> Search:
@@ -190,45 +191,45 @@ def repair(rows: DataFrame, tokenizer: Tokenizer, *, version: int = 2, fixed_dro
 _FOUND = {**_OUT, "n_ids": pa.int64(), "ids_sha256": pa.string(), "exact": pa.bool_(), "reason": pa.string(), "n_trials": pa.int64()}
 
 
-def repair_turns(conversations: DataFrame, tokenizer: Tokenizer, *, version: int = 2, fixed_drop: int | None = None, max_drop: int = 8) -> DataFrame:
+def repair_turns(conversations: DataFrame, tokenizer: Tokenizer, *, version: int = 2, fixed_drop: int | None = None, max_drop: int = 8, trials: bool = False) -> DataFrame:
     """``repair`` of each turn (conv_id, turn, text) against all earlier turns, one pass over a conversation's turns in order.
 
     The full tokenization after one turn is the snapshot that the next turn starts from, so each is made once. Results have the
-    candidate's geometry, n_ids, ids_sha256 (of the ids in decimal, comma-joined), exact, reason and n_trials; ids themselves
-    would grow with the square of a conversation. A conversation is one task's unit.
+    candidate's geometry, n_ids, ids_sha256 (of the ids in decimal, comma-joined), exact, reason and n_trials, and with ``trials``
+    the trials themselves; ids would grow with the square of a conversation. A conversation is one task's unit: its turns come
+    as sorted rows, which may spread over batches, and only the text and ids of the one at hand are in memory.
     """
     given = conversations.sparkSession.sparkContext.broadcast(tokenizer)
-    turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("delta")))).alias("turns"))
+    rows = conversations.select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("delta"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "delta")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = given.value
-        for b in batches:
+        tok, at, prefix, ids, ends = given.value, run, b"", [], []
+        for b in sliced(batches, "delta"):
             out: list[tuple] = []
-            sizes = []
-            for turns in b.column("turns").to_pylist():
-                prefix, ids, ends = b"", [], []
-                sizes.append(len(turns))
-                for t in turns:
-                    delta = t["delta"]
-                    oracle = tok.encode(prefix + delta) if prefix or delta else []
-                    s = _search(tok, prefix, ids, ends, delta, oracle, version, fixed_drop, max_drop) if prefix else Search(reason="empty prefix")
-                    f = s.found
-                    out.append((
-                        t["turn"], *[getattr(f, n) if f else None for n in _OUT], len(f.ids) if f else None, hashlib.sha256(",".join(map(str, f.ids)).encode()).hexdigest() if f else None,
-                        bool(f) and f.ids == oracle, s.reason, len(s.trials),
-                    ))
-                    prefix, ids = prefix + delta, oracle
-                    ends = ends_of(tok, ids) if version == 2 else []
-            own = b.column("conv_id").take(pa.array(np.repeat(np.arange(b.num_rows), sizes)))
-            cols = list(zip(*out, strict=True)) or [[]] * (1 + len(_FOUND))
-            yield pa.RecordBatch.from_arrays([own, *[pa.array(c, k) for c, k in zip(cols, [turn_type, *_FOUND.values()], strict=True)]], ["conv_id", "turn", *_FOUND])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    turn_type = to_arrow_type(conversations.schema["turn"].dataType)
+            tried: list[list[dict]] = []
+            for conv, delta in zip(b.column("conv_id").to_pylist(), b.column("delta").to_pylist(), strict=True):
+                if at is run or not (conv == at or (conv != conv and at != at)):  # NaN is one key as well
+                    at, prefix, ids, ends = conv, b"", [], []
+                whole = prefix + delta
+                oracle = tok.encode(whole) if whole else []
+                s = _search(tok, prefix, ids, ends, delta, oracle, version, fixed_drop, max_drop) if prefix else Search(reason="empty prefix")
+                f = s.found
+                out.append((
+                    *[getattr(f, n) if f else None for n in _OUT], len(f.ids) if f else None, hashlib.sha256(",".join(map(str, f.ids)).encode()).hexdigest() if f else None,
+                    bool(f) and f.ids == oracle, s.reason, len(s.trials),
+                ))
+                if trials:
+                    tried.append(s.trials)
+                prefix, ids = whole, oracle
+                ends = ends_of(tok, ids) if version == 2 else []
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _FOUND.values(), strict=True)]
+            more = {"trials": pa.array(tried, pa.list_(_TRIAL))} if trials else {}
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), *cols, *more.values()], ["conv_id", "turn", *_FOUND, *more])
+
     counts = ", ".join(f"{n} bigint" for n in _OUT)
-    kinds = f"turn {conversations.schema['turn'].dataType.simpleString()}, {counts}, n_ids bigint, ids_sha256 string, exact boolean, reason string, n_trials bigint"
-    return turns.mapInArrow(run, extended(turns.select("conv_id").schema, kinds))
+    kinds = f"{counts}, n_ids bigint, ids_sha256 string, exact boolean, reason string, n_trials bigint" + (", trials array<struct<drop:bigint,window:bigint,exact:boolean,reason:string>>" if trials else "")
+    return rows.mapInArrow(run, extended(rows.select("conv_id", "turn").schema, kinds))
 
 
 def appends(conversations: DataFrame) -> DataFrame:

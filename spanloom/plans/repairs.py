@@ -74,7 +74,7 @@ def repair_histogram(spark, sf_dir):
 @query(f"WITH {_C}, b AS (SELECT conv_id, turn, min(k) AS k FROM z WHERE ok GROUP BY conv_id, turn) SELECT z.conv_id, z.turn, CAST(z.k AS BIGINT) AS \"drop\", CAST(strlen(p) - kb + strlen(d) AS BIGINT) AS \"window\", ok AS exact, CAST(NULL AS VARCHAR) AS reason FROM z JOIN b USING (conv_id, turn) WHERE z.k <= b.k AND kb > 0")
 def repair_trials(spark, sf_dir):
     """Every trial of each search that ends in an exact candidate."""
-    r = repair.repair(repair.appends(conversations(spark, sf_dir)), RegexTokenizer(WORDS)).where("exact")
+    r = repair.repair_turns(conversations(spark, sf_dir), RegexTokenizer(WORDS), trials=True).where("exact")
     return r.select("conv_id", "turn", F.explode("trials").alias("t")).select("conv_id", "turn", "t.*")
 
 

@@ -346,6 +346,47 @@ def test_turns_equal_rows(spark):
     assert h.count() == 12 and h.agg(F.sum("cases")).first()[0] == len(turns)
 
 
+@pytest.fixture
+def small_batches(spark):
+    """Two rows a batch, and one plan from first to last."""
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_turns_over_batches_give_the_rows_trials(spark, small_batches):
+    """Conversations that begin and end inside batches, null and NaN keys, null and repeated turns."""
+    turns = [(c, None if t == 5 else t // 2, "xyab c"[(i + t) % 5 :] if t % 4 else None) for i, c in enumerate((1.0, None, float("nan"), 2.0, -3.0)) for t in range(3 + i)]
+    df = spark.createDataFrame(turns, "conv_id double, turn int, text string")
+    for tok in (RegexTokenizer(WORDS), Scripted()):
+        for version, fixed in ((1, None), (2, None), (2, 1)):
+            rows = repair.repair(repair.appends(df), tok, version=version, fixed_drop=fixed, max_drop=3)
+            got = repair.repair_turns(df, tok, version=version, fixed_drop=fixed, max_drop=3, trials=True)
+            seen = [sorted(map(str, x.select("conv_id", "turn", "drop", "window", "exact", "reason", "trials").collect())) for x in (rows, got)]
+            assert seen[0] == seen[1] and len(seen[0]) == len(turns)
+
+
+def test_trials_send_each_text_once(spark, small_batches, tmp_path):
+    """The bytes sent to Python grow with the texts, not with the square of a conversation."""
+    from spanloom.plans.repairs import repair_trials
+
+    text = "some words " * 20
+    spark.createDataFrame([(1, i, text) for i in range(100)], "conv_id bigint, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = repair_trials(spark, str(tmp_path))
+    assert len(out.collect()) >= 99
+
+    def nodes(plan):
+        kids = plan.children()
+        return [plan, *(n for i in range(kids.size()) for n in nodes(kids.apply(i)))]
+
+    sent = [n.metrics().apply("pythonDataSent").value() for n in nodes(out._jdf.queryExecution().executedPlan()) if n.nodeName() == "MapInArrow"]
+    assert len(sent) == 1 and 0 < sent[0] < 10 * 100 * len(text)
+
+
 def test_snapshot_errors_in_order(spark):
     good = stored(spark, [(1, b"xyab", b"")]).first().asDict(recursive=True)
     span = lambda i, **more: [s | more if j == i else s for j, s in enumerate(good["native_spans"])]
